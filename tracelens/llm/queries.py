@@ -23,9 +23,24 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules
+
+    return quality_rules.clean(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_words", "failed_rules"
+    )
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    found = pii.detect(table(spark, sf_dir, "documents"), redacted=False)
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def queries() -> dict:
     """Name to function of (spark, sf_dir)."""
-    return {"op9_byte_bpe": op9_byte_bpe}
+    return {"op6_quality_rules": op6_quality_rules, "op8_pii": op8_pii, "op9_byte_bpe": op9_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
