@@ -177,8 +177,9 @@ def hidden(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int,
     added = []
     for s, e, kind in find(new):
         a, z = begin[s], end[e - 1]
-        if text[a:z] == new[s:e] or any(k == kind and x <= a and z <= y for x, y, k in base):
-            continue
+        known = [(x, y) for x, y, k in base if k == kind and x < z and a < y]
+        if text[a:z] == new[s:e] or known and (kind != "email" or any(x <= a and z <= y for x, y in known)):
+            continue  # a number's base span isn't stretched over the word beside it
         added.append((a, z, kind))
     return added
 

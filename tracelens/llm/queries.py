@@ -23,6 +23,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules
 
@@ -40,7 +48,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Name to function of (spark, sf_dir)."""
-    return {"op6_quality_rules": op6_quality_rules, "op8_pii": op8_pii, "op9_byte_bpe": op9_byte_bpe}
+    return {"op3_packing": op3_packing, "op6_quality_rules": op6_quality_rules, "op8_pii": op8_pii, "op9_byte_bpe": op9_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
