@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, table
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    documents = table(spark, sf_dir, "documents")
+    scored = toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "toxic_windows")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules
 
@@ -39,6 +47,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_clf
+
+    documents = table(spark, sf_dir, "documents")
+    scored = quality_clf.score(documents, quality_clf.fit(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -48,7 +64,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Name to function of (spark, sf_dir)."""
-    return {"op3_packing": op3_packing, "op6_quality_rules": op6_quality_rules, "op8_pii": op8_pii, "op9_byte_bpe": op9_byte_bpe}
+    return {f.__name__: f for f in (op3_packing, op5_toxicity, op6_quality_rules, op7_quality_classifier, op8_pii, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
