@@ -31,6 +31,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_main
+
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -64,7 +70,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Name to function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op3_packing, op5_toxicity, op6_quality_rules, op7_quality_classifier, op8_pii, op9_byte_bpe)}
+    return {f.__name__: f for f in (op3_packing, op4_html_text, op5_toxicity, op6_quality_rules, op7_quality_classifier, op8_pii, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
