@@ -68,9 +68,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     """Name to function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op3_packing, op4_html_text, op5_toxicity, op6_quality_rules, op7_quality_classifier, op8_pii, op9_byte_bpe)}
+    return {f.__name__: f for f in (op3_packing, op4_html_text, op5_toxicity, op6_quality_rules, op7_quality_classifier, op8_pii, op9_byte_bpe, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
