@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, texts_of
+from .common import bytes_of, materialize, slices
+from .textops import span_hashes, word_spans
 
 WINDOW = 4096
 END_ID = 2
@@ -27,45 +28,97 @@ END_ID = 2
 BLOCK = 64
 #: Salts that split the pieces of one length, however many there are.
 SALTS = 64
+#: Signs that are tokens apart from the letters before them.
+SIGNS = ".,;:!?%&$#*"
+#: 1 for ASCII letters and digits, 2 for SIGNS.
+KINDS = np.zeros(256, np.int8)
+KINDS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+KINDS[[ord(c) for c in SIGNS]] = 2
 #: Entries after which a worker's cache of words is emptied.
-CACHE = 1_500_000
+CACHE = 1_200_000
 _tokenizers: dict = {}
 
 
+def word_pieces(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans of words, cut between ASCII letters or digits and SIGNS: there the tokenizer's own pieces end."""
+    starts, ends = word_spans(data)
+    kind = KINDS[np.frombuffer(data, np.uint8)]
+    cut = np.flatnonzero(kind[1:] * kind[:-1] == 2) + 1
+    return np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+
+
 class WordIds:
-    """Ids of words by a tokenizers file, cached as bytes. White space never joins what it separates there."""
+    """Ids of words by a tokenizers file, cached. White space never joins what it separates there.
+
+    The words of a batch, ASCII case folded, are hashed at once; only its distinct ones are looked up, by 64-bit hash, in a table of slots
+    that point into one array of ids. Two of a million cached words share a hash with a chance of 3e-8.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: list[str]) -> None:
-        """Encode new words, many in one call; a token belongs to the word in which it begins."""
-        if len(self.known) + len(words) > CACHE:
-            self.known = {"": b""}
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.ids, self.bound, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+
+    def parts(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of distinct words, many encoded in one call; a token belongs to the word in which it begins."""
+        out = []
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            starts = np.cumsum([0, *[len(w) + 1 for w in part]])
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
-            begin = np.fromiter((x[0] for x in found.offsets), np.int64, len(ids))
+            begin = np.array([x[0] for x in found.offsets], np.int64)
             cut = np.searchsorted(begin, starts).tolist()
-            data = ids.astype("<u4").tobytes()
-            self.known.update(zip(part, (data[4 * a : 4 * b] for a, b in zip(cut, cut[1:]))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*words)
-        new = [w for w in wanted if w not in self.known]
-        if new:
-            self.learn(new)
-            if not wanted <= self.known.keys():  # the cache was emptied
-                self.learn([w for w in wanted if w not in self.known])
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+            ids = np.array(found.ids, np.uint32)
+            out += [ids[a:b] for a, b in zip(cut, cut[1:])]
+        return out
+
+    def learn(self, hashes: list[int], words: list[str]) -> None:
+        parts = self.parts(words)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        n, total = len(self.slot), int(sizes.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * total, np.uint32)])
+        if n + len(words) + 1 > len(self.bound):
+            self.bound = np.concatenate([self.bound[: n + 1], np.zeros(n + 2 * len(words) + 1, np.int64)])
+        np.concatenate(parts, out=self.ids[self.used : self.used + total])
+        self.bound[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(sizes)
+        self.used += total
+        self.slot.update(zip(hashes, range(n, n + len(words))))
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text in UTF-8."""
+        data = b" ".join(texts)
+        starts, ends = word_pieces(data)
+        hashes = span_hashes(data, starts, ends, lower=True)
+        if b"<|" in data:  # special tokens heed the case
+            opened = np.frombuffer(data, np.uint8)
+            opened = np.concatenate([[0], np.cumsum((opened[:-1] == 60) & (opened[1:] == 124))])
+            exact = opened[ends - 1] > opened[starts]
+            hashes = np.where(exact, span_hashes(data, starts, ends) ^ np.uint64(1), hashes)
+        edges = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts]]))
+        if not len(starts):
+            return [np.empty(0, np.uint32)] * len(texts)
+        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        if len(self.slot) + len(keys) > CACHE:
+            self.clear()
+        slots = [*map(self.slot.get, keys)]
+        if None in slots:
+            new = [i for i, s in enumerate(slots) if s is None]
+            at = first[new]
+            self.learn([keys[i] for i in new], [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            slots = [*map(self.slot.__getitem__, keys)]
+        slot = np.array(slots, np.int64)
+        begin, size = self.bound[slot][place], (self.bound[slot + 1] - self.bound[slot])[place]
+        stop = np.cumsum(size)
+        ids = self.ids[np.repeat(begin - stop + size, size) + np.arange(stop[-1])]
+        stop = np.concatenate([[0], stop])[edges].tolist()
+        return [ids[a:b] for a, b in zip(stop, stop[1:])]
 
 
 def tokenizer(path: str) -> WordIds:
@@ -101,14 +154,14 @@ def joined_crc(first: int, second: int, size: int) -> int:
 def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Pieces of each document: ``start``, ``length``, ``ids_crc32``, ``doc_tokens`` and the ``blocks``' checksums of a rest."""
     id_type = df.schema[id_col].dataType.simpleString()
-    end = np.array([END_ID], "<u4").tobytes()
+    end = np.array([END_ID], "<u4")
 
     def work(batches):
         ids = tokenizer(tokenizer_path)
         for batch in slices(batches, rows=256, size=2 << 20):
             rows: list[list] = [[], [], [], [], [], []]
-            for k, data in enumerate(ids.encode(texts_of(batch, "text"))):
-                data += end
+            for k, found in enumerate(ids.encode(bytes_of(batch, "text"))):
+                data = np.concatenate([found, end]).astype("<u4", copy=False).tobytes()
                 total = len(data) // 4
                 for at in range(0, total, window):
                     part = data[4 * at : 4 * (at + window)]

@@ -59,15 +59,20 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a text as byte spans and 64-bit hashes; ``lower`` folds A-Z.
+    """Words of a text as byte spans and 64-bit hashes; ``lower`` folds A-Z."""
+    starts, ends = word_spans(data)
+    return starts, ends, span_hashes(data, starts, ends, lower)
+
+
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of spans that don't overlap and between which there is only white space.
 
     Long texts go through in pieces of about ``CHUNK`` bytes, cut between words, so that memory stays bounded.
     """
-    starts, ends = word_spans(data)
     n = len(starts)
     out = np.empty(n, dtype=_u)
     if n == 0:
-        return starts, ends, out
+        return out
     codes = np.frombuffer(data, np.uint8)
     values = LOWER if lower else BYTES
     at = 0
@@ -81,7 +86,7 @@ def word_hashes(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarra
         begin = starts[at:to] - base
         out[at:to] = np.add.reduceat(prod, begin) * inverse[begin]
         at = to
-    return starts, ends, mix(out)
+    return mix(out)
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
