@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_materialized, materialize
 
 
+class Forest:
+    """Components of rows of one task, by hooking and pointer jumping over arrays of links."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        root = self.root
+        while True:
+            a, b = root[i], root[j]
+            apart = a != b
+            if not apart.any():
+                return
+            np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+            while not np.array_equal(up := root[root], root):
+                root[:] = up
+
+
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
     return tuple(r)
