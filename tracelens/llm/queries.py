@@ -23,6 +23,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import embed_dedup
 
@@ -82,7 +88,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Name to function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op2_embedding_dedup, op3_packing, op4_html_text, op5_toxicity, op6_quality_rules, op7_quality_classifier, op8_pii, op9_byte_bpe, op10_minhash)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_packing, op4_html_text, op5_toxicity, op6_quality_rules, op7_quality_classifier, op8_pii, op9_byte_bpe, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
