@@ -225,3 +225,15 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact
 
 def digest(spans: str) -> str:
     return hashlib.sha256(spans.encode()).hexdigest()
+
+
+def mask(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with a placeholder for each span in ``text_col``; a null text stays null."""
+    at = df.columns.index(text_col)
+
+    def work(batches):
+        for batch in slices(batches, rows=512, size=4 << 20):
+            texts = [t if not t else redact(t, spans_of(t)[1]) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.names[at], pa.array(texts, pa.string()))
+
+    return df.mapInArrow(work, df.schema)

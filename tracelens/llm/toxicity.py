@@ -199,3 +199,19 @@ def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(work, f"id {id_type}, score double, predicted int, toxic_windows bigint").withColumnRenamed("id", id_col)
+
+
+def keep_clean(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """Rows of ``df`` whose text the model doesn't call toxic, all columns as they were."""
+    at = df.columns.index(text_col)
+
+    def work(batches):
+        meter = model.meter() if model else None
+        for batch in slices(batches, rows=512, size=4 << 20):
+            if model is None:
+                yield batch
+                continue
+            keep = [features(distances(t or "", meter)) @ model.weights < 0 for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(work, df.schema)
