@@ -10,8 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of texts go to Python in batches of at most ``rows``: ten thousand texts, the default, are too much memory at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read by Spark alone (the path may be in any store)."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tracelens/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -45,6 +54,17 @@ def drop_materialized(df: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def wanted_rows(rows: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """``rows`` whose ``id`` is among ``ids`` (distinct). A bitmap of hashed ids goes ahead of the join and keeps most other
+    rows, with their texts, out of its shuffle. It has at most 2^bits / 64 words of 16 bytes, however many ids there are;
+    where it fills up it only passes more rows."""
+    at = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
+    word, bit = F.shiftright(at, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << bits}) & 63 as int))")
+    words = ids.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    near = rows.withColumn("__word", word).join(F.broadcast(words), "__word").filter(F.col("__bits").bitwiseAND(bit) != 0).drop("__word", "__bits")
+    return near.join(ids, "id")
+
+
 def fold(id_col: str, folds: int):
     """``crc32`` of the id as text, modulo ``folds`` (null for a null id)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(folds)

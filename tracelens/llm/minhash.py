@@ -8,25 +8,26 @@ Jaccard estimate from the registers, corrected for chance collisions, drops clea
 Documents with equal sets are one class and go through once, whatever their number. In a bucket of a band each member
 is first held against one hub only. Components of the confirmed links then show which buckets are settled; in the
 others, members of different components are held against each other, so that every proposed link counts. Nothing is
-capped. Null and empty texts, and null ids, link with nothing and form a component of their own. Ids are taken as
+capped. Members of the open buckets are gathered into families, whose documents meet as pairs of bounded chunks; there
+products of incidence matrices give all intersections, and only edges of spanning forests leave the task. Null and empty texts, and null ids, link with nothing and form a component of their own. Ids are taken as
 unique apart from repeated rows.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import bytes_of, materialize, slices
-from .components import connected_components
+from .common import bytes_of, drop_materialized, materialize, slices, wanted_rows
+from .components import Forest, connected_components
 
 #: Registers, bits of their mantissa, bands and registers of a band.
 REGISTERS, MANTISSA, BANDS, ROWS = 128, 10, 32, 5
+#: Documents of a chunk, columns of an incidence matrix, and the most documents that meet as one family.
+CHUNK, WIDTH, FAMILY = 1000, 4096, 20_000
 _rng = np.random.Generator(np.random.PCG64(20250101))
 BAND = np.stack([_rng.choice(REGISTERS, ROWS, replace=False) for _ in range(BANDS)])
 BORROW = np.stack([_rng.permutation(REGISTERS) for _ in range(REGISTERS)])
@@ -165,6 +166,63 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return both.mapInArrow(work, f"a {kind}, b {kind}")
 
 
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets, ``left`` against ``right``, by products of incidence matrices."""
+    sizes = np.array([len(s) for s in sets])
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = count[column] > 1  # others are in no intersection
+    row, column = row[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    place = np.full(len(sets), -1)
+    place[left] = np.arange(len(left))
+    other = np.full(len(sets), -1)
+    other[right] = np.arange(len(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(values), WIDTH):
+        a, b = np.searchsorted(column, (at, at + WIDTH))
+        if a == b:
+            continue
+        r, c = row[a:b], column[a:b] - at
+        x, y = np.zeros((len(left), WIDTH), np.float32), np.zeros((len(right), WIDTH), np.float32)
+        x[place[r[place[r] >= 0]], c[place[r] >= 0]] = 1
+        y[other[r[other[r] >= 0]], c[other[r] >= 0]] = 1
+        out += x @ y.T
+    return out
+
+
+def settle(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Edges (a, b) that join components through links within a unit. ``members``: (unit, id, c, text), c the component so far."""
+    kind = members.schema["id"].dataType.simpleString()
+    sizes = members.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    split = members.join(sizes, "unit").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    split = split.select("unit", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "c", "text")
+
+    def work(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, chunk = group["id"], group["chunk"].to_numpy()
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        _, known = np.unique(group["c"].to_numpy(zero_copy_only=False), return_inverse=True)
+        edges: tuple[list, list] = ([], [])
+        if known.any():
+            sets = [shingles(x or b"", k) for x in group["text"].cast(pa.binary()).to_pylist()]
+            n = np.array([len(s) for s in sets], np.float64)
+            left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+            common = overlaps(sets, left, right)
+            p, q = np.nonzero((100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (known[left][:, None] != known[right][None, :]))
+            forest = Forest(int(known.max()) + 1)
+            for a, b in zip(left[p].tolist(), right[q].tolist()):
+                if forest.root[known[a]] != forest.root[known[b]]:
+                    forest.link(known[[a]], known[[b]])
+                    edges[0].append(a)
+                    edges[1].append(b)
+        return pa.table([ids.take(pa.array(x, pa.int64())).combine_chunks() for x in edges], names=["a", "b"])
+
+    return split.groupBy("unit", "i", "j").applyInArrow(work, f"a {kind}, b {kind}")
+
+
 def near_duplicates(df: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: the id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -174,24 +232,23 @@ def near_duplicates(df: DataFrame, k: int = 4, percent: int = 80, id_col: str =
     keyed = materialize(bands(classes))
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).filter("size > 1")
     members = materialize(keyed.join(groups, "key"))
-    star = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = materialize(likely(star, classes, percent))
-    wanted = first.select(F.col("a").alias("id")).unionAll(first.select("b")).distinct()
-    texts = materialize(rows.join(wanted, "id").dropDuplicates(["id"]))
-    links = materialize(confirm(first, texts, k, percent))
-    found = connected_components(links, "a", "b")
+    drop_materialized(keyed)
+    star = materialize(members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    wanted = star.select(F.col("a").alias("id")).unionAll(star.select("b")).distinct()
+    texts = materialize(wanted_rows(rows, wanted).dropDuplicates(["id"]))
+    links = materialize(confirm(likely(star, classes, percent), texts, k, percent))
+    found = materialize(connected_components(links, "a", "b"))
     # buckets of three and more whose members aren't all in one component yet
     large = members.filter("size > 2").join(found.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     open_keys = large.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("key")
     rest = materialize(large.join(open_keys, "key").select("key", "id", "hub", "c"))
-    other = rest.select("key", F.col("id").alias("b"), F.col("c").alias("d"))
-    pairs = rest.filter("id <> hub").withColumnRenamed("id", "a").join(other.filter("b is not null"), "key").filter("a < b and c <> d").select("a", "b").distinct()
-    pairs = pairs.join(star, ["a", "b"], "left_anti")
-    second = materialize(likely(pairs, classes, percent))
-    if second.limit(1).count():
-        wanted = second.select(F.col("a").alias("id")).unionAll(second.select("b")).distinct()
-        more = materialize(rows.join(wanted, "id").dropDuplicates(["id"]))
-        found = connected_components(links.unionAll(confirm(second, more, k, percent)), "a", "b")
+    if rest.limit(1).count():
+        family = connected_components(rest, "hub", "id").withColumnRenamed("component", "family")
+        size = family.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
+        # a family too large to meet as a whole meets bucket by bucket
+        units = rest.join(family, "id").join(size, "family").select(F.when(F.col("m") <= FAMILY, F.concat(F.lit("f"), "family")).otherwise(F.concat(F.lit("k"), "key")).alias("unit"), "id", "c").distinct()
+        more = materialize(settle(units.join(texts, "id"), k, percent))
+        found = connected_components(links.unionAll(more), "a", "b")
     of_class = classes.select("s1", "s2", F.col("id").alias("r")).join(found.withColumnRenamed("id", "r"), "r", "left").select("s1", "s2", F.coalesce("component", "r").alias("c"))
     joined = live.select("id", "n", "s1", "s2").join(of_class, ["s1", "s2"]).select("id", "n", "c")
     alone = sketches.filter("not (n > 0 and id is not null)").select("id", "n", F.col("id").alias("c"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import bytes_of, materialize, slices
+from .common import bytes_of, materialize, slices, wanted_rows
 
 #: Words of the least passage and of a suffix's start. A window of LEAST - SEED + 1 starts has one suffix at least.
 LEAST, SEED = 50, 20
@@ -93,7 +93,7 @@ def contexts(suffixes: DataFrame, texts: DataFrame, least: int, seed: int) -> Da
                 sides = [pa.array([x.tobytes() for x in np.concatenate(side).astype(">u4")], pa.binary()) for side in (before, after)]
                 yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), ids.take(take), pa.array(ats, pa.int32()), *sides], ["h", "id", "at", "before", "after"])
 
-    return per_text.join(texts, "id").select("id", "at", "h", "text").mapInArrow(work, f"h bigint, id {id_type}, at int, before binary, after binary")
+    return per_text.join(wanted_rows(texts, suffixes.select("id").distinct()), "id").select("id", "at", "h", "text").mapInArrow(work, f"h bigint, id {id_type}, at int, before binary, after binary")
 
 
 def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
