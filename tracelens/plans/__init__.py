@@ -1 +1 @@
-"""Log diagnosis on Spark."""
+"""Registered queries of the log-diagnosis engine."""
