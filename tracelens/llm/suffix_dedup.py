@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops
@@ -215,18 +215,11 @@ def across(found: DataFrame, least: int, seed: int):
 
 def merged(intervals: DataFrame) -> DataFrame:
     """(id, first, from, to, source): unions of the overlapping or touching intervals of each document and kind."""
-    # both sorts are of one document's matches
-    w = intervals.groupBy("id", "first").agg(F.array_sort(F.collect_set(F.struct("from", "to", "source"))).alias("x"))
-    head = F.element_at("x", 1)
-    start = F.array(F.struct(head["from"].alias("from"), head["to"].alias("to"), head["source"].alias("source")))
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        longer = F.struct(last["from"].alias("from"), F.greatest(last["to"], x["to"]).alias("to"), F.least(last["source"], x["source"]).alias("source"))
-        rest = F.slice(acc, F.lit(1), F.size(acc) - 1)
-        return F.when(x["from"] <= last["to"], F.concat(rest, F.array(longer))).otherwise(F.concat(acc, F.array(x)))
-
-    return w.select("id", "first", F.explode(F.aggregate("x", start, step)).alias("s")).select("id", "first", "s.from", "s.to", "s.source")
+    ordered = Window.partitionBy("id", "first").orderBy("from", "to")
+    reach = F.max("to").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    opened = intervals.withColumn("new", F.coalesce((F.col("from") > reach).cast("int"), F.lit(1)))
+    numbered = opened.withColumn("island", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("id", "first", "island").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.min("source").alias("source")).drop("island")
 
 
 def repeated_passages(df: DataFrame, least: int = LEAST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,10 +229,9 @@ def repeated_passages(df: DataFrame, least: int = LEAST, seed: int = SEED, id_co
     scanned = materialize(scan(rows, least, seed, "id", "text"))
     whole = scanned.filter(F.col("n") >= least).select("id", "n", "s1", "s2")
     classes = whole.groupBy("s1", "s2").agg(F.min("id").alias("r"), F.max("id").alias("z")).filter("r <> z")
-    copies = materialize(whole.join(classes, ["s1", "s2"]).select("id", "n", "r", "z"))
+    copies = whole.join(classes, ["s1", "s2"]).select("id", "n", "r", "z")
     distinct = scanned.join(copies.filter("id <> r").select("id"), "id", "left_anti")
     suffixes = distinct.select("id", F.explode(F.arrays_zip("at", "h")).alias("x")).select("id", "x.at", "x.h").distinct()
-    suffixes = materialize(suffixes)
     often = suffixes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
     wanted = materialize(suffixes.join(often, "h"))
     around = materialize(contexts(wanted, rows, least, seed))
