@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import patterns as P
 from ..functions.text import settled, text_or_empty
 
-BY_LINE = Window.partitionBy("file").orderBy("line_no")
-BEFORE = BY_LINE.rowsBetween(Window.unboundedPreceding, -1)
-SO_FAR = BY_LINE.rowsBetween(Window.unboundedPreceding, 0)
+
+def up_to(last: int) -> WindowSpec:
+    """Lines of a file from its first to the one ``last`` places after the current."""
+    return Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, last)
 
 
 def joined(rows: Column) -> Column:
@@ -22,9 +24,9 @@ def blocks(lines: DataFrame) -> DataFrame:
     """(file, line_no, raw): entries of one or more lines. An exception line opens a stretch that keeps all lines up to the
     next exception line; outside of it, a line that looks like an entry's beginning starts a new block."""
     marked = lines.select("file", "line_no", "line", F.col("line").rlike(P.EXCEPTION_LINE).cast("int").alias("e"), F.col("line").rlike(P.ENTRY_START).alias("s"))
-    inside = F.coalesce(F.sum("e").over(BEFORE), F.lit(0)) % 2
+    inside = F.coalesce(F.sum("e").over(up_to(-1)), F.lit(0)) % 2
     starts = (F.col("s") & (F.col("e") == 0) & (inside == 0)).cast("int")
-    numbered = marked.withColumn("starts", starts).withColumn("block", F.sum("starts").over(SO_FAR))
+    numbered = marked.withColumn("starts", starts).withColumn("block", F.sum("starts").over(up_to(0)))
     out = numbered.groupBy("file", "block").agg(F.min("line_no").alias("line_no"), joined(F.collect_list(F.struct("line_no", "line"))).alias("raw"))
     return out.filter(F.trim("raw") != "").select("file", "line_no", "raw")
 
@@ -32,7 +34,7 @@ def blocks(lines: DataFrame) -> DataFrame:
 def logical_entries(lines: DataFrame, identifiers: list[str] | None = None, app_only: bool = False) -> DataFrame:
     """(file, line_no, raw): under a logcat table's header lines are one entry each header; before the first, each line is one.
     ``app_only`` keeps entries of the named packages, or that mention an identifier."""
-    marked = lines.withColumn("head", F.col("line").rlike(P.TABLE_HEADER)).withColumn("grp", F.sum(F.col("head").cast("int")).over(SO_FAR))
+    marked = lines.withColumn("head", F.col("line").rlike(P.TABLE_HEADER)).withColumn("grp", F.sum(F.col("head").cast("int")).over(up_to(0)))
     unit = F.when(F.col("grp") == 0, F.concat(F.lit("l"), F.col("line_no").cast("string"))).otherwise(F.concat(F.lit("g"), F.col("grp").cast("string")))
     out = marked.groupBy("file", unit.alias("u")).agg(F.min("line_no").alias("line_no"), F.min_by("line", "line_no").alias("first"), F.max("head").alias("head"), joined(F.collect_list(F.struct("line_no", "line"))).alias("raw"))
     if app_only and identifiers:
