@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, texts_of
+from .textops import Store, code_hashes, code_table
 
 LETTER, NUMBER, OTHER, WHITE, SPACE, BREAK = range(6)
 MAX_CODE = 0x110000
 #: Entries after which a worker's cache of merged slices is emptied.
-CACHE = 400_000
+CACHE = 1_000_000
 BLOCK = 128
+#: Bytes up to which a slice is merged in a plain list.
+SHORT = 40
 _classes: list[np.ndarray] = []
 _vocabularies: dict = {}
 
@@ -129,18 +132,23 @@ class Vocabulary:
         self.token = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for k, v in self.ranks.items():
             self.token[v] = k
-        vocabulary = self
-
-        class Cache(dict):
-            def __missing__(self, piece: str):
-                if len(self) >= CACHE:
-                    self.clear()
-                ids = vocabulary.merge(piece.encode())
-                lengths = [len(vocabulary.token[i]) for i in ids]
-                self[piece] = value = (np.array(ids, np.int32).tobytes(), np.array(lengths, np.int32).tobytes())
-                return value
-
-        self.cache = Cache()
+        self.sizes = np.array([len(t) for t in self.token], np.int32)
+        self.store = Store(CACHE)
+        self.table = code_table(MAX_CODE)
+
+    def _merge_short(self, piece: bytes) -> list[int]:
+        get, none = self.ranks.get, len(self.token)
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+        return [self.ranks[x] for x in parts]
 
     def merge(self, piece: bytes) -> list[int]:
         """Merge the pair of lowest rank, the leftmost of equals, until none is left; n log n for any length."""
@@ -148,6 +156,8 @@ class Vocabulary:
         if piece in ranks:
             return [ranks[piece]]
         n = len(piece)
+        if n <= SHORT:
+            return self._merge_short(piece)
         after, before, end = [*range(1, n + 1)], [*range(-1, n - 1)], [*range(1, n + 1)]
         heap = []
 
@@ -183,22 +193,19 @@ def vocabulary(path: str) -> Vocabulary:
 def encode_texts(texts: list[str], vocab: Vocabulary) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids and byte lengths of the tokens of each text."""
     joined = "\n".join(texts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not joined:
+        return [np.empty(0, np.int32)] * len(texts), [np.empty(0, np.int32)] * len(texts)
+    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     stops = np.cumsum(sizes) + np.arange(len(texts))
     starts = boundaries(codes, stops[:-1])
-    bounds = [*starts.tolist(), len(joined)]
-    first = np.searchsorted(starts, stops - sizes).tolist()
-    last = np.searchsorted(starts, stops).tolist()
-    ids, lengths, cached = [], [], vocab.cache.__getitem__
-    for a, b in zip(first, last, strict=True):
-        cut = bounds[a : b + 1]
-        if b == len(starts):
-            cut = [*bounds[a:b], len(joined)]
-        got = [cached(joined[i:j]) for i, j in zip(cut, cut[1:])]
-        ids.append(np.frombuffer(b"".join([x[0] for x in got]), np.int32))
-        lengths.append(np.frombuffer(b"".join([x[1] for x in got]), np.int32))
-    return ids, lengths
+    ends = np.append(starts[1:], len(codes))
+    pieces = lambda at: [np.array(vocab.merge(joined[a:b].encode()), np.uint32) for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+    ids, bound = vocab.store.gather(code_hashes(codes, starts, vocab.table), pieces)
+    ids = ids.astype(np.int32)
+    lengths = vocab.sizes[ids]
+    cuts = list(zip(bound[np.searchsorted(starts, stops - sizes)].tolist(), bound[np.searchsorted(starts, stops)].tolist()))
+    return [ids[a:b] for a, b in cuts], [lengths[a:b] for a, b in cuts]
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, materialize, slices
-from .textops import span_hashes, word_spans
+from .textops import Store, span_hashes, word_spans
 
 WINDOW = 4096
 END_ID = 2
@@ -35,7 +35,7 @@ KINDS = np.zeros(256, np.int8)
 KINDS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
 KINDS[[ord(c) for c in SIGNS]] = 2
 #: Entries after which a worker's cache of words is emptied.
-CACHE = 1_200_000
+CACHE = 1_500_000
 _tokenizers: dict = {}
 
 
@@ -50,19 +50,13 @@ def word_pieces(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 class WordIds:
     """Ids of words by a tokenizers file, cached. White space never joins what it separates there.
 
-    The words of a batch, ASCII case folded, are hashed at once; only its distinct ones are looked up, by 64-bit hash, in a table of slots
-    that point into one array of ids. Two of a million cached words share a hash with a chance of 3e-8.
-    """
+    The words of a batch, ASCII case folded, are hashed at once; only its distinct ones are looked up."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.ids, self.bound, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+        self.store = Store(CACHE)
 
     def parts(self, words: list[str]) -> list[np.ndarray]:
         """Ids of distinct words, many encoded in one call; a token belongs to the word in which it begins."""
@@ -77,19 +71,6 @@ class WordIds:
             out += [ids[a:b] for a, b in zip(cut, cut[1:])]
         return out
 
-    def learn(self, hashes: list[int], words: list[str]) -> None:
-        parts = self.parts(words)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        n, total = len(self.slot), int(sizes.sum())
-        if self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * total, np.uint32)])
-        if n + len(words) + 1 > len(self.bound):
-            self.bound = np.concatenate([self.bound[: n + 1], np.zeros(n + 2 * len(words) + 1, np.int64)])
-        np.concatenate(parts, out=self.ids[self.used : self.used + total])
-        self.bound[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(sizes)
-        self.used += total
-        self.slot.update(zip(hashes, range(n, n + len(words))))
-
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text in UTF-8."""
         data = b" ".join(texts)
@@ -103,21 +84,9 @@ class WordIds:
         edges = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts]]))
         if not len(starts):
             return [np.empty(0, np.uint32)] * len(texts)
-        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self.slot) + len(keys) > CACHE:
-            self.clear()
-        slots = [*map(self.slot.get, keys)]
-        if None in slots:
-            new = [i for i, s in enumerate(slots) if s is None]
-            at = first[new]
-            self.learn([keys[i] for i in new], [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-            slots = [*map(self.slot.__getitem__, keys)]
-        slot = np.array(slots, np.int64)
-        begin, size = self.bound[slot][place], (self.bound[slot + 1] - self.bound[slot])[place]
-        stop = np.cumsum(size)
-        ids = self.ids[np.repeat(begin - stop + size, size) + np.arange(stop[-1])]
-        stop = np.concatenate([[0], stop])[edges].tolist()
+        words = lambda at: [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        ids, stop = self.store.gather(hashes, lambda at: self.parts(words(at)))
+        stop = stop[edges].tolist()
         return [ids[a:b] for a, b in zip(stop, stop[1:])]
 
 

@@ -99,3 +99,59 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
         acc *= _u(GOLDEN)
         acc += hashes[j : j + n]
     return mix(acc)
+
+
+class Store:
+    """Ids of hashed pieces of text, cached: sorted hashes with slots that point into one array of ids.
+
+    Only the distinct pieces of a batch are looked up. Beyond ``limit`` pieces it is emptied. Two of a million cached
+    pieces share a 64-bit hash with a chance of 3e-8.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.slot = np.empty(0, _u), np.empty(0, np.int64)
+        self.ids, self.bound, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+
+    def _learn(self, at: np.ndarray, hashes: np.ndarray, parts: list) -> None:
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        n, m, total = len(self.keys), len(parts), int(sizes.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * total, np.uint32)])
+        if n + m + 1 > len(self.bound):
+            self.bound = np.concatenate([self.bound[: n + 1], np.zeros(n + 2 * m + 1, np.int64)])
+        self.ids[self.used : self.used + total] = np.concatenate(parts)
+        self.bound[n + 1 : n + 1 + m] = self.used + np.cumsum(sizes)
+        self.used += total
+        self.keys = np.insert(self.keys, at, hashes)
+        self.slot = np.insert(self.slot, at, np.arange(n, n + m))
+
+    def gather(self, hashes: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces' ids in a row, and the bounds of each piece in them. ``make``: from places of new pieces to their ids."""
+        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) + len(distinct) > self.limit:
+            self.clear()
+        at = np.searchsorted(self.keys, distinct)
+        new = np.flatnonzero((at == len(self.keys)) | (np.append(self.keys, _u(0))[at] != distinct))
+        if len(new):
+            self._learn(at[new], distinct[new], make(first[new]))
+            at = np.searchsorted(self.keys, distinct)
+        slot = self.slot[at]
+        begin, size = self.bound[slot][place], (self.bound[slot + 1] - self.bound[slot])[place]
+        stop = np.cumsum(size)
+        ids = self.ids[np.repeat(begin - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        return ids, np.concatenate([[0], stop])
+
+
+def code_table(size: int = 0x110000) -> np.ndarray:
+    """A 64-bit value for each code point."""
+    return mix(np.arange(1, size + 1, dtype=_u) * _u(GOLDEN))
+
+
+def code_hashes(codes: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hashes of adjoining slices of code points, by where they begin."""
+    power, inverse = _pow(len(codes))
+    return mix(np.add.reduceat(table[codes] * power[: len(codes)], starts) * inverse[starts])

@@ -29,7 +29,7 @@ from .textops import word_spans
 #: What follows a window while it is compressed: the match finder leaves the last 16 bytes of its input alone.
 TAIL = b" " * 40
 #: Entries after which a worker's cache of windows is emptied.
-CACHE = 1_000_000
+CACHE = 200_000
 #: Words of a window, bytes of the shared and of the own part of a dictionary, lengths of word beginnings.
 WORDS = 1
 SHARED, OWN = 6000, 1500
