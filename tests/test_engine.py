@@ -197,7 +197,7 @@ def test_edges_resolve_by_one_meaning(spark):
         ("java", "A.java", 'public class A {\n  public void run(int x) {\n    logger.error("it failed {}", x);\n  }\n}\n', {"A.run"}, {("A.run", "error", "it failed {}")}),
         ("typescript", "a.ts", "export function go() {\n  console.log(`done ${x}`);\n}\nconst f = (a) => {\n console.warn('odd');\n}\n", {"go", "f"}, {("go", "info", "done {}"), ("f", "warn", "odd")}),
         ("go", "a.go", 'func (s *S) Run() {\n\tlog.Fatalf("no %s", x)\n\tfmt.Println("yes")\n}\n', {"Run"}, {("Run", "fatal", "no %s"), ("Run", "info", "yes")}),
-        ("c", "a.c", '#include <x.h>\nstatic int\nrun(int a) {\n  printf("value of %d", a);\n  printf("%d", a);\n}\nvoid g(void) {\n  syslog(LOG_ERR, "bad thing");\n}\n', {"run", "g"}, {("run", "info", "value of %d"), ("g", "err", "bad thing")}),
+        ("c", "a.c", '#include <x.h>\nstatic int run(int a,\n    int b) {\n  printf("value of %d", a);\n  printf("%d", a);\n}\nvoid g(void) {\n  syslog(LOG_ERR, "bad thing");\n}\n', {"run", "g"}, {("run", "info", "value of %d"), ("g", "err", "bad thing")}),
         ("c", "a.hpp", 'void A::run() {\n  std::cerr << "broken pipe";\n}\n', {"A::run"}, {("A::run", "info", "broken pipe")}),
         ("kotlin", "A.kt", 'class A {\n  fun run(x: Int) {\n    Log.e(TAG, "bad $x")\n    L.ri { "was ${x}" }\n    other.call()\n  }\n}\n', {"A.run"}, {("A.run", "e", "bad {}"), ("A.run", "ri", "was {}")}),
     ],
