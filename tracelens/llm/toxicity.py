@@ -28,6 +28,8 @@ from .textops import word_spans
 
 #: What follows a window while it is compressed: the match finder leaves the last 16 bytes of its input alone.
 TAIL = b" " * 40
+#: The end of a dictionary: its last 8 bytes aren't indexed.
+END = b"\n" * 16
 #: Entries after which a worker's cache of windows is emptied.
 CACHE = 200_000
 #: Words of a window, bytes of the shared and of the own part of a dictionary, lengths of word beginnings.
@@ -157,7 +159,7 @@ def train(texts: list[str], toxic: list[int]) -> Model | None:
     width = max(len(tox), len(plain))
     pad = base[-width:] if width else b""
     tox, plain = pad[: width - len(tox)] + tox, pad[: width - len(plain)] + plain
-    model = Model(base + tox, base + plain, np.zeros(0))
+    model = Model(base + tox + END, base + plain + END, np.zeros(0))
     meter = model.meter()
     x = np.stack([features(distances(t, meter)) for t, p in zip(texts, place) if p == 1])
     model.weights = logistic(x, y[place == 1])
