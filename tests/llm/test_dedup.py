@@ -138,6 +138,37 @@ def test_suffixes_against_brute_force(spark):
         assert (cleaned[i] or "").split() == [x for k, x in enumerate(w) if k not in gone[i]]
 
 
+def repeated_and_gone(spark, docs, partitions=1):
+    """Words of ``docs`` in passages that repeat and words that ``without`` cuts, by document."""
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(partitions)
+    got, gone = collections.defaultdict(set), collections.defaultdict(set)
+    for r in suffix_dedup.repeated_passages(df).collect():
+        assert r.source_id != r.doc_id
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+        if not r.first:
+            gone[r.doc_id].update(range(r.start_word, r.end_word))
+    return got, gone
+
+
+@pytest.mark.parametrize("heavy", [10_000, 2])
+def test_one_holder_keeps_a_passage(spark, heavy, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
+    rng = random.Random(11)
+    spans, docs = collections.defaultdict(dict), []
+    passages = [prose(rng, n) for n in (50, 55, 62, 80)]
+    for holder in range(12):
+        for k, passage in enumerate(passages):
+            before = prose(rng, rng.randrange(5, 60))
+            spans[k][len(docs)] = (len(before), len(before) + len(passage))
+            docs.append(" ".join(before + passage + prose(rng, rng.randrange(5, 60))))
+    got, gone = repeated_and_gone(spark, docs, 5)
+    for holders in spans.values():
+        keeps = [i for i, (a, b) in holders.items() if not gone[i] & set(range(a, b))]
+        assert keeps == [min(holders)]
+        assert all(got[i] == set(range(a, b)) for i, (a, b) in holders.items())
+        assert all(gone[i] == got[i] for i in holders if i != min(holders))
+
+
 def test_pipeline_on_small_tables(spark, tmp_path):
     cp = pytest.importorskip("corpus_pipeline")
     rng = random.Random(9)

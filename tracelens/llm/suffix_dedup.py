@@ -1,17 +1,17 @@
 """Operator 1: passages that repeat across documents, by sparse suffix arrays.
 
 A text's suffixes are kept only where a window of words has its minimiser, so that any two places which share a passage
-of the least length share a kept suffix inside it. Suffixes whose first words occur once in the corpus go at once. The
-others are sorted by what follows and then by what comes before, and once more the other way round, over range
-partitions; in sorted order each is compared with its neighbours, and with the smallest document of the run that
-matches it, and the match is extended to the left and right. The stretch around a suffix is as long as the least
-length, which is enough: a longer passage is the union of the matches at its suffixes.
+of the least length share a kept suffix at the same word of it. Suffixes whose first words occur once in the corpus go
+at once. Each of the others stands for the passages of the least length whose minimiser it is, and carries their hashes.
+Suffixes that start alike meet, and among them equal hashes: so every repeated passage of the least length is found with
+all its places, whatever stands around it, and the smallest of all places is the first. A longer passage is the union of
+those inside it.
 
 Words are runs of bytes other than ASCII white space. Documents of equal words are one class: the smallest id stands
-for it, the others repeat it as a whole. Of two places that match, the one in the smaller id (then at the smaller
+for it, the others repeat it as a whole. Of the places of a passage, the one in the smallest id (then at the smallest
 position) comes first. Null and empty texts, texts shorter than the least length, and rows with a null id have no
-repeated passage. Rows that repeat an id are taken as one document. No group is gathered in one task: a frequent
-passage's suffixes lie side by side in as many partitions as they need.
+repeated passage. Rows that repeat an id are taken as one document. Only starts with at most ``HEAVY`` suffixes are
+gathered in one task; the passages of more frequent ones meet by aggregates and a join.
 """
 
 from __future__ import annotations
@@ -26,11 +26,14 @@ from .common import bytes_of, materialize, slices, wanted_rows
 
 #: Words of the least passage and of a suffix's start. A window of LEAST - SEED + 1 starts has one suffix at least.
 LEAST, SEED = 50, 20
+#: Suffixes of one start that are compared in one task.
+HEAVY = 10_000
 _u = np.uint64
 
 
-def minimisers(hashes: np.ndarray, least: int = LEAST, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the kept suffixes: of every ``least - seed + 1`` successive starts the leftmost smallest."""
+def choices(hashes: np.ndarray, least: int = LEAST, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """For each passage of the least length the position of its minimiser, and the hashes of all starts: of every
+    ``least - seed + 1`` successive starts the leftmost smallest."""
     starts = textops.windows(hashes, seed)
     w = least - seed + 1
     if len(starts) < w:
@@ -40,7 +43,13 @@ def minimisers(hashes: np.ndarray, least: int = LEAST, seed: int = SEED) -> tupl
     chosen = np.empty(len(views), np.int64)
     for at in range(0, len(views), 1 << 15):
         chosen[at : at + (1 << 15)] = views[at : at + (1 << 15)].argmin(1)
-    at = np.unique(chosen + np.arange(len(views)))
+    return chosen + np.arange(len(views)), starts
+
+
+def minimisers(hashes: np.ndarray, least: int = LEAST, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the kept suffixes."""
+    chosen, starts = choices(hashes, least, seed)
+    at = np.unique(chosen)
     return at, starts[at]
 
 
@@ -67,150 +76,99 @@ def scan(df: DataFrame, least: int, seed: int, id_col: str, text_col: str) -> Da
     return rows.mapInArrow(work, f"id {id_type}, n bigint, s1 bigint, s2 bigint, at array<int>, h array<bigint>")
 
 
-def contexts(suffixes: DataFrame, texts: DataFrame, least: int, seed: int) -> DataFrame:
-    """(h, id, at, before, after): words before (nearest first) and after the start of each suffix, 4 bytes a word, 0 beyond the text."""
+def passages_at(suffixes: DataFrame, texts: DataFrame, least: int, seed: int) -> DataFrame:
+    """(h, id, p, k array<bigint>): for each suffix the hashes of the passages whose minimiser it is; they begin at word ``p`` and the next ones."""
     id_type = texts.schema["id"].dataType.simpleString()
-    reach = least - seed
-    per_text = suffixes.groupBy("id").agg(F.collect_list("at").alias("at"), F.collect_list("h").alias("h"))  # of one document
+    per_text = suffixes.groupBy("id").agg(F.collect_list("at").alias("at"))  # of one document
 
     def work(batches):
         for batch in slices(batches, rows=256, size=4 << 20):
             ids = batch.column(0)
-            rows, hs, ats, before, after = [], [], [], [], []
-            for k, (at, h, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), bytes_of(batch, "text"))):
+            rows, h, p, k, sizes = [], [], [], [], []
+            for i, (at, data) in enumerate(zip(batch.column(1).to_pylist(), bytes_of(batch, "text"))):
                 _, _, words = textops.word_hashes(data)
-                short = np.zeros(len(words) + 2 * reach, np.uint32)
-                short[reach : reach + len(words)] = (words >> _u(32)).astype(np.uint32) | np.uint32(1)
-                p = np.array(at, np.int64)
-                step = np.arange(reach)
-                before.append(short[p[:, None] + reach - 1 - step])
-                after.append(short[p[:, None] + reach + seed + step])
-                rows.append(np.full(len(p), k))
-                hs += h
-                ats += at
-            if rows:
-                take = pa.array(np.concatenate(rows))
-                sides = [pa.array([x.tobytes() for x in np.concatenate(side).astype(">u4")], pa.binary()) for side in (before, after)]
-                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), ids.take(take), pa.array(ats, pa.int32()), *sides], ["h", "id", "at", "before", "after"])
-
-    return per_text.join(wanted_rows(texts, suffixes.select("id").distinct()), "id").select("id", "at", "h", "text").mapInArrow(work, f"h bigint, id {id_type}, at int, before binary, after binary")
-
-
-def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Leading words that rows of two tables share; words beyond a text (0) match nothing."""
-    same = (x == y) & (x != 0)
-    return np.where(same.all(1), x.shape[1], (~same).argmax(1))
-
-
-def neighbours(sorted_rows: DataFrame, least: int, seed: int) -> DataFrame:
-    """Matches of neighbours in sorted order: (id, from, to, source, first) for both places, and each partition's outer rows
-    (edge 0 or 1, with their partition's number) so that what meets across a boundary can be compared as well."""
-    id_type = sorted_rows.schema["id"].dataType.simpleString()
+                chosen, starts = choices(words, least, seed)
+                wanted = np.isin(chosen, at)
+                begin = np.flatnonzero(wanted & np.append(True, chosen[1:] != chosen[:-1])[: len(chosen)])
+                rows.append(np.full(len(begin), i))
+                h.append(starts[chosen[begin]])
+                p.append(begin)
+                k.append(textops.windows(words, least)[wanted])
+                sizes.append(np.bincount(np.searchsorted(begin, np.flatnonzero(wanted), side="right") - 1, minlength=len(begin)))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(sizes))), pa.int32()), pa.array(np.concatenate(k).view(np.int64)))
+            columns = [pa.array(np.concatenate(h).view(np.int64)), ids.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(p), pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "id", "p", "k"])
 
-    def work(batches):
-        from pyspark import TaskContext
+    return per_text.join(wanted_rows(texts, suffixes.select("id").distinct()), "id").select("id", "at", "text").mapInArrow(work, f"h bigint, id {id_type}, p int, k array<bigint>")
 
-        number = TaskContext.get().partitionId()
-        last: list | None = None  # rows carried over: the last one and the smallest of its run
-        ended = None
+
+MATCH = ["id", "from", "to", "source", "first"]
+
+
+def gathered(rows: DataFrame, least: int, seed: int) -> DataFrame:
+    """Matches of suffixes that start alike: (id, from, to, source, first), the passages of a suffix with one answer in a row put together."""
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def work(batches):
+        held = None
         for batch in slices(batches, rows=4096):
-            h, ids, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            sides = [np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u4").reshape(batch.num_rows, -1) for c in (3, 4)]
-            if last is None:
-                yield _edge(batch.slice(0, 1), number, 0)
-                carried = []
-            else:
-                carried = last
-            rows = [*carried, *((h[i], ids[i], at[i], sides[0][i], sides[1][i]) for i in range(batch.num_rows))]
-            yield from _matches(rows, len(carried), id_type, least, seed)
-            last = _carry(rows, least, seed, len(carried))
-            ended = batch.slice(batch.num_rows - 1, 1)
-        if ended is not None:
-            yield _edge(ended, number, 1)
-
-    return sorted_rows.mapInArrow(work, f"id {id_type}, `from` int, `to` int, source {id_type}, first boolean, edge int, part int, h bigint, at int, before binary, after binary")
-
-
-NAMES = ["id", "from", "to", "source", "first", "edge", "part", "h", "at", "before", "after"]
-
-
-def _edge(row: pa.RecordBatch, number: int, edge: int) -> pa.RecordBatch:
-    nothing = lambda t: pa.array([None], t)
-    ids = row.column(1)
-    columns = [ids, nothing(pa.int32()), nothing(pa.int32()), nothing(ids.type), nothing(pa.bool_()), pa.array([edge], pa.int32()), pa.array([number], pa.int32())]
-    return pa.RecordBatch.from_arrays([*columns, row.column(0), row.column(2), row.column(3), row.column(4)], NAMES)
-
-
-def _extent(rows: list, a: list[int], b: list[int], seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words shared to the left and to the right of the starts, of pairs of rows."""
-    x, y = [rows[i] for i in a], [rows[i] for i in b]
-    return tuple(common(np.stack([r[c] for r in x]), np.stack([r[c] for r in y])) for c in (3, 4))
-
-
-def _runs(rows: list, fresh: int, least: int, seed: int):
-    """For each row from ``fresh`` on: whether it matches the row before it, and the smallest row of its run so far."""
-    n = len(rows)
-    begin = max(1, fresh)
-    pairs = [i for i in range(begin, n) if rows[i][0] == rows[i - 1][0]]
-    # two carried rows: the run's smallest, then the last; a fresh row's neighbour is the last of them
-    reached = {}
-    if pairs:
-        left, right = _extent(rows, [i - 1 for i in pairs], pairs, seed)
-        reached = {i: (int(a), int(b)) for i, a, b in zip(pairs, left, right) if a + seed + b >= least}
-    smallest = {}
-    now = 0 if fresh == 2 else max(0, fresh - 1)
-    for i in range(begin, n):
-        if i not in reached:
-            now = i
-        smallest[i] = now
-        if (rows[i][1], rows[i][2]) < (rows[now][1], rows[now][2]):
-            now = i
-    return reached, smallest, now
-
-
-def _matches(rows: list, fresh: int, id_type: str, least: int, seed: int):
-    reached, smallest, _ = _runs(rows, fresh, least, seed)
-    out: list[tuple] = []
-
-    def put(i: int, j: int, a: int, b: int) -> None:
-        x, y = rows[i], rows[j]
-        if x[1] == y[1] and abs(x[2] - y[2]) < seed:
-            return  # a passage that repeats itself word by word
-        out.append((x[1], x[2] - a, x[2] + seed + b, y[1], (x[1], x[2]) < (y[1], y[2])))
-
-    for i, (a, b) in reached.items():
-        put(i, i - 1, a, b)
-        put(i - 1, i, a, b)
-    far = [i for i in reached if smallest[i] not in (i, i - 1)]
-    if far:
-        for i, a, b in zip(far, *_extent(rows, far, [smallest[i] for i in far], seed)):
-            if a + seed + b >= least:
-                put(i, smallest[i], int(a), int(b))
-    if out:
-        kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_type, pa.int64())
-        columns = [pa.array(c, t) for c, t in zip(zip(*out), (kind, pa.int32(), pa.int32(), kind, pa.bool_()))]
-        n = len(out)
-        empty = [pa.array([None] * n, t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*columns, *empty], NAMES)
-
-
-def _carry(rows: list, least: int, seed: int, fresh: int) -> list:
-    *_, now = _runs(rows, fresh, least, seed)
-    return [rows[-1]] if now == len(rows) - 1 else [rows[now], rows[-1]]
-
-
-def across(found: DataFrame, least: int, seed: int):
-    """Matches between a partition's last row and the next one's first; two rows a partition come to the driver."""
-    edges = sorted(found.filter("edge is not null").select("part", "edge", "h", "id", "at", "before", "after").collect())
-    id_type = found.schema["id"].dataType.simpleString()
-    rows = []
-    for x, y in zip(edges, edges[1:]):
-        if (x["edge"], y["edge"]) == (1, 0) and x["h"] == y["h"]:
-            two = [(r["h"], r["id"], r["at"], np.frombuffer(bytes(r["before"]), ">u4"), np.frombuffer(bytes(r["after"]), ">u4")) for r in (x, y)]
-            for batch in _matches(two, 1, id_type, least, seed):
-                rows += [tuple(r.values()) for r in batch.select(NAMES[:5]).to_pylist()]
-    spark = found.sparkSession
-    return spark.createDataFrame(rows, f"id {id_type}, `from` int, `to` int, source {id_type}, first boolean")
+            batch = batch if held is None else pa.concat_batches([held, batch])
+            h = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))
+            if cut:
+                yield _matches(batch.slice(0, cut), least, seed)
+            held = batch.slice(cut)
+        if held is not None:
+            yield _matches(held, least, seed)
+
+    return rows.repartition("h").sortWithinPartitions("h", "id", "p").mapInArrow(work, f"id {id_type}, `from` int, `to` int, source {id_type}, first boolean")
+
+
+def _matches(batch: pa.RecordBatch, least: int, seed: int) -> pa.RecordBatch:
+    """Matches among rows sorted by (h, id, p); all rows of an ``h`` are there."""
+    h, ids, sizes = batch.column(0).to_numpy(), batch.column(1), batch.column(3).value_lengths().to_numpy()
+    keys = batch.column(3).flatten().to_numpy()
+    row = np.repeat(np.arange(len(h)), sizes)
+    place = np.repeat(batch.column(2).to_numpy() - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(keys))
+    doc = np.cumsum(np.append(True, ids.slice(1).to_numpy(zero_copy_only=False) != ids.slice(0, len(h) - 1).to_numpy(zero_copy_only=False)))
+    order = np.argsort(keys, kind="stable")  # equal passages stay in the order of their places
+    k, r, p = keys[order], row[order], place[order]
+    d = doc[r]
+    new = np.append(True, (k[1:] != k[:-1]) | (h[r[1:]] != h[r[:-1]]))
+    group = np.cumsum(new) - 1
+    start = np.flatnonzero(new)
+    low, high = start[group], np.append(start[1:], len(k))[group] - 1
+    change = np.flatnonzero(np.append(False, d[1:] != d[:-1]) & ~new)
+    at, index = np.unique(group[change], return_index=True)
+    second = np.full(len(start), -1)  # a place in the second smallest document
+    second[at] = r[change[index]]
+    second = second[group]
+    foreign = d != d[low]
+    later = foreign | (p - p[low] >= seed)
+    # places of one document that lie closer are a passage that repeats itself word by word
+    kind = np.empty(len(k), np.int8)
+    kind[order] = np.where(later, 2, (d[high] != d) | (p[high] - p >= seed))
+    source = np.empty(len(k), np.int64)
+    source[order] = np.where(foreign, r[low], np.where(second >= 0, second, r))
+    begin = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (kind[1:] != kind[:-1])))
+    stop = np.append(begin[1:], len(k)) - 1
+    least_source = np.minimum.reduceat(source, begin)
+    some = kind[begin] > 0
+    begin, stop, least_source = begin[some], stop[some], least_source[some]
+    columns = [ids.take(pa.array(row[begin])), pa.array(place[begin], pa.int32()), pa.array(place[stop] + least, pa.int32()), ids.take(pa.array(least_source)), pa.array(kind[begin] == 1)]
+    return pa.RecordBatch.from_arrays(columns, MATCH)
+
+
+def spread(rows: DataFrame, least: int, seed: int) -> DataFrame:
+    """The same matches as of :func:`gathered`, one a passage, for starts of any number of suffixes: no group meets in one task."""
+    each = rows.select("h", "id", "p", F.posexplode("k").alias("i", "k")).select("h", "k", "id", (F.col("p") + F.col("i")).alias("p"))
+    place = F.struct("id", "p")
+    groups = each.groupBy("h", "k").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter(f"low.id <> high.id or high.p - low.p >= {seed}")
+    second = each.join(groups.filter("low.id <> high.id").select("h", "k", "low"), ["h", "k"]).filter("id <> low.id").groupBy("h", "k").agg(F.min("id").alias("second"))
+    known = materialize(groups.join(second, ["h", "k"], "left"))
+    found = each.join(known, ["h", "k"]).withColumn("later", F.expr(f"id <> low.id or p - low.p >= {seed}"))
+    source = F.when(F.col("id") != F.col("low.id"), F.col("low.id")).otherwise(F.coalesce("second", "id"))
+    return found.filter(f"later or high.id <> id or high.p - p >= {seed}").select("id", F.col("p").alias("from"), (F.col("p") + least).alias("to"), source.alias("source"), (~F.col("later")).alias("first"))
 
 
 def merged(intervals: DataFrame) -> DataFrame:
@@ -224,7 +182,8 @@ def merged(intervals: DataFrame) -> DataFrame:
 
 def repeated_passages(df: DataFrame, least: int = LEAST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per maximal repeated stretch of a document: the id, ``start_word``, ``end_word`` (exclusive), ``n_words``,
-    ``source_id`` (the smallest other document it was matched with) and ``first`` (it comes before what it matches)."""
+    ``source_id`` (the smallest other document with a passage of it) and ``first`` (its passages are the first of all their
+    places; every other place is not ``first``)."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     scanned = materialize(scan(rows, least, seed, "id", "text"))
     whole = scanned.filter(F.col("n") >= least).select("id", "n", "s1", "s2")
@@ -232,15 +191,11 @@ def repeated_passages(df: DataFrame, least: int = LEAST, seed: int = SEED, id_co
     copies = whole.join(classes, ["s1", "s2"]).select("id", "n", "r", "z")
     distinct = scanned.join(copies.filter("id <> r").select("id"), "id", "left_anti")
     suffixes = distinct.select("id", F.explode(F.arrays_zip("at", "h")).alias("x")).select("id", "x.at", "x.h").distinct()
-    often = suffixes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    often = suffixes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     wanted = materialize(suffixes.join(often, "h"))
-    around = materialize(contexts(wanted, rows, least, seed))
-    parts = []
-    for keys in (("h", "after", "before", "id", "at"), ("h", "before", "after", "id", "at")):
-        ordered = around.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        found = materialize(neighbours(ordered, least, seed))
-        parts += [found.filter("edge is null").select("id", "from", "to", "source", "first"), across(found, least, seed)]
-    matches = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    heavy = F.broadcast(wanted.filter(F.col("c") > HEAVY).select("h").distinct())
+    around = materialize(passages_at(wanted, rows, least, seed))
+    matches = gathered(around.join(heavy, "h", "left_anti"), least, seed).unionAll(spread(around.join(heavy, "h"), least, seed))
     whole_copies = copies.select("id", F.lit(0).alias("from"), F.col("n").cast("int").alias("to"), F.when(F.col("id") == F.col("r"), F.col("z")).otherwise(F.col("r")).alias("source"), (F.col("id") == F.col("r")).alias("first")).distinct()
     # a copy has what its class has; what it repeats as a whole is said once
     spans = merged(matches.unionAll(whole_copies))
