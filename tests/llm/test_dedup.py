@@ -169,6 +169,30 @@ def test_one_holder_keeps_a_passage(spark, heavy, monkeypatch):
         assert all(gone[i] == got[i] for i in holders if i != min(holders))
 
 
+def test_edited_versions_against_brute_force(spark):
+    rng = random.Random(13)
+    base, docs = prose(rng, 300), []
+    for _ in range(150):
+        docs.append(" ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.05 else w for w in base))
+    for k in (18, 24, 30):  # pairs that others share more with on one side only
+        left, seed, right = prose(rng, 40), prose(rng, 20), prose(rng, 40)
+        for a, b in [(15, 15), (15, 15), *[(40, 5)] * 4, *[(5, 40)] * 4]:
+            docs.append(" ".join(prose(rng, k) + left[40 - a :] + seed + right[:b] + prose(rng, k)))
+    places = collections.defaultdict(list)
+    for i, t in enumerate(docs):
+        w = t.split()
+        for p in range(len(w) - 49):
+            places[tuple(w[p : p + 50])].append((i, p))
+    want, cut = collections.defaultdict(set), collections.defaultdict(set)
+    for v in places.values():
+        for i, p in v if len(v) > 1 else ():
+            want[i].update(range(p, p + 50))
+            if (i, p) != min(v):
+                cut[i].update(range(p, p + 50))
+    got, gone = repeated_and_gone(spark, docs, 4)
+    assert got == want and gone == cut
+
+
 def test_pipeline_on_small_tables(spark, tmp_path):
     cp = pytest.importorskip("corpus_pipeline")
     rng = random.Random(9)
