@@ -1,19 +1,22 @@
 """Operator 5: toxicity by compression distance.
 
-Two zstandard dictionaries share most of their content, common ordinary words; the rest of one is taken from toxic
-text and of the other from ordinary text: the word beginnings whose document frequency speaks most for its class.
-Every window of a few words is compressed with both. How many bytes the toxic dictionary saves is the window's
-distance; counts of windows beyond fixed distances, weighed by a logistic regression on training rows that the
+Two zstandard dictionaries are trained by zstandard's own trainer, one on toxic and one on ordinary text. Overlapping
+windows of a few words are compressed with both; how many bytes the toxic dictionary saves is a window's distance.
+Counts and shares of windows beyond fixed distances, weighed by a logistic regression on training rows that the
 dictionaries haven't seen, give the calibrated score.
 
+Most of a toxic text is ordinary, so a plain dictionary of it would say little. Each dictionary's own part is therefore
+trained on those windows of its class that profit most from other texts of the class, over a long stretch of the other
+class's text, and that aren't copied from one document to another. Around the own parts both dictionaries hold the same
+ordinary text, and the same false alarms: ordinary windows that a first pair of dictionaries called toxic.
+
 The fit takes at most ``per_class`` labelled rows of a class (the only bound); scoring reads every text whole. Null
 and empty texts have no window and get the score of a document without any sign. With labels of one class only,
-or none, every score is 0.
+or none, every score is 0. Rows that repeat an id are scored one by one; in the fit one of them counts.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -23,147 +26,192 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import slices, texts_of
+from .common import bytes_of, slices
 from .textops import word_spans
 
-#: What follows a window while it is compressed: the match finder leaves the last 16 bytes of its input alone.
-TAIL = b" " * 40
-#: The end of a dictionary: its last 8 bytes aren't indexed.
+#: Words of a window; successive windows begin one word apart.
+WORDS = 3
+#: Spaces after a window while it is compressed: the match finder leaves the last bytes of its input alone, and the
+#: block always shrinks, so that no window is stored raw.
+TAIL = 40
+#: The end of a dictionary, whose last bytes aren't indexed.
 END = b"\n" * 16
-#: Entries after which a worker's cache of windows is emptied.
-CACHE = 200_000
-#: Words of a window, bytes of the shared and of the own part of a dictionary, lengths of word beginnings.
-WORDS = 1
-SHARED, OWN = 6000, 1500
-BEGINNINGS = (3, 4, 5, 6, 7, 8)
-#: Least likelihood ratio of a word beginning, and distances in bytes that are counted.
-EVIDENCE = 30.0
-DISTANCES = (1, 2, 3, 4, 6)
-
+#: Bytes of text that windows are judged by while own parts are trained: of the other class, and of the own class.
+AGAINST, FOR = 2_000_000, 400_000
+#: Bytes of a dictionary's parts: ordinary text, the own part, false alarms of each round, frequent ordinary text.
+BASE, OWN, ALARMS, FREQUENT = 200_000, 4_000, 30_000, 8_000
+#: Share of a class's windows that its own part is trained on, bytes of a trained segment, rounds of false alarms.
+PROFIT, SEGMENT, ROUNDS = 0.03, 12, 3
+#: Distances in bytes that are counted.
+DISTANCES = (1, 2, 3, 4, 6, 8)
+#: Windows compressed in one call.
+CALL = 1 << 15
+
+
+def windows(data: bytes, words: int = WORDS) -> np.ndarray:
+    """Offsets and lengths of all windows of ``words`` words, each with the byte before it and the byte after it."""
+    starts, ends = word_spans(data)
+    n = len(starts)
+    first = np.arange(min(n, max(1, n - words + 1)))
+    a = np.maximum(starts[first] - 1, 0)
+    b = np.minimum(ends[np.minimum(first + words, n) - 1] + 1, len(data))
+    return np.stack([a, b - a], 1)
 
-@dataclass
-class Model:
-    toxic: bytes
-    ordinary: bytes
-    weights: np.ndarray
 
-    def meter(self) -> "Meter":
-        return Meter(self)
+def normal(data: bytes) -> bytes:
+    """A text in lower case with a space before its first word."""
+    return b" " + data.decode().lower().encode()
 
 
-class Meter(dict):
-    """Bytes that the toxic dictionary saves on a window, each distinct window compressed once by a worker."""
+class Meter:
+    """Distances of windows under a pair of dictionaries, ordinary and toxic."""
 
-    def __init__(self, model: Model):
+    def __init__(self, ordinary: bytes, toxic: bytes):
         import zstandard as z
 
-        super().__init__()
         params = z.ZstdCompressionParameters(
-            window_log=14, hash_log=14, chain_log=14, search_log=5, min_match=3, target_length=64, strategy=z.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0
+            window_log=22, hash_log=17, chain_log=19, search_log=8, min_match=4, target_length=64, strategy=z.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS
         )
-        parts = [z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT) for d in (model.toxic, model.ordinary)]
-        self.toxic, self.ordinary = (z.ZstdCompressor(dict_data=d, compression_params=params).compress for d in parts)
+        self.segments, self.pair = z.BufferWithSegments, []
+        for content in (ordinary, toxic):
+            known = z.ZstdCompressionDict(content + END, dict_type=z.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(compression_params=params)
+            self.pair.append(z.ZstdCompressor(dict_data=known, compression_params=params))
+
+    def of(self, data: bytes, parts: np.ndarray) -> np.ndarray:
+        """Bytes that the toxic dictionary saves on each of the windows of ``data``."""
+        out = [self._some(data, parts[at : at + CALL]) for at in range(0, len(parts), CALL)]
+        return np.concatenate(out) if out else np.empty(0, np.int64)
+
+    def _some(self, data: bytes, parts: np.ndarray) -> np.ndarray:
+        size = parts[:, 1]
+        padded = size + TAIL
+        start = np.cumsum(padded) - padded
+        inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        copy = np.full(int(padded.sum()), 32, np.uint8)
+        copy[np.repeat(start, size) + inside] = np.frombuffer(data, np.uint8)[np.repeat(parts[:, 0], size) + inside]
+        windows = self.segments(copy.tobytes(), np.stack([start, padded], 1).astype(np.uint64).tobytes())
+        plain, toxic = (np.fromiter(map(len, c.multi_compress_to_buffer(windows)), np.int64, len(parts)) for c in self.pair)
+        return plain - toxic
 
-    def __missing__(self, window: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[window] = value = len(self.ordinary(window + TAIL)) - len(self.toxic(window + TAIL))
-        return value
 
+@dataclass
+class Model:
+    toxic: bytes
+    ordinary: bytes
+    weights: np.ndarray
 
-def windows(text: str, words: int = WORDS) -> list[bytes]:
-    """Windows of ``words`` words each, lower case, over the whole text; a space before each word."""
-    data = b" " + text.lower().encode()
-    starts, ends = word_spans(data)
-    if not len(starts):
-        return []
-    begin = (starts[::words] - 1).tolist()
-    stop = [*ends[words - 1 :: words].tolist(), int(ends[-1])]
-    return [data[a:b] for a, b in zip(begin, stop)]
+    def scores(self, meter: Meter, texts: list[bytes]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.stack([features(d) for d in distances(texts, meter)]) @ self.weights, -30, 30)))
 
 
-def distances(text: str, meter: Meter) -> np.ndarray:
-    """Bytes that the toxic dictionary saves on each window."""
-    parts = windows(text)
-    return np.fromiter(map(meter.__getitem__, parts), np.int64, len(parts))
+def distances(texts: list[bytes], meter: Meter) -> list[np.ndarray]:
+    """Bytes that the toxic dictionary saves on each window of each text."""
+    data = [normal(t) for t in texts]
+    parts = [windows(t) for t in data]
+    begin = np.cumsum([0, *map(len, data)])
+    every = np.concatenate([p + (at, 0) for p, at in zip(parts, begin)]) if parts else np.empty((0, 2), np.int64)
+    return np.split(meter.of(b"".join(data), every), np.cumsum([len(p) for p in parts])[:-1])
 
 
 def features(d: np.ndarray) -> np.ndarray:
-    """Of a document's distances: counts beyond each limit (logarithms and shares) and the greatest."""
-    counts = [int((d >= k).sum()) for k in DISTANCES]
+    """Of a document's distances: counts beyond each limit (logarithms and shares), their mean and greatest."""
+    counts = (d[:, None] >= np.array(DISTANCES)).sum(0)
     n = max(1, len(d))
-    return np.array([1.0, *(math.log1p(c) for c in counts), *(math.sqrt(c / n) for c in counts), min(6, max(0, int(d.max()))) / 2 if len(d) else 0.0])
-
-
-def beginnings(text: str) -> set[str]:
-    words = set(text.lower().split())
-    return {w[:k] for w in words for k in BEGINNINGS if len(w) >= k} | {w[:12] for w in words}
-
-
-def likelihood(a: int, n: int, b: int, m: int) -> float:
-    """Signed likelihood ratio of a beginning in ``a`` of ``n`` documents against ``b`` of ``m``."""
+    return np.array([1.0, *np.log1p(counts), *np.sqrt(counts / n), d.mean() if len(d) else 0.0, min(8, max(0, int(d.max()))) / 4 if len(d) else 0.0])
 
-    def part(k: int, total: int, p: float) -> float:
-        return (k * math.log(p) if k else 0.0) + ((total - k) * math.log(1 - p) if total > k else 0.0)
 
-    p = (a + b) / (n + m)
-    if p in (0.0, 1.0):
-        return 0.0
-    g = 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, p) - part(b, m, p))
-    return g if a * m > b * n else -g
+def trained(samples: list[bytes], size: int, segment: int, alike: int = 6) -> bytes:
+    """The content that zstandard's trainer makes of samples. It gives up early where segments are short for so few
+    samples; then they grow."""
+    import zstandard as z
 
-
-def own_part(scores: list[tuple[float, str]]) -> bytes:
-    """Beginnings up to ``OWN`` bytes, the best last, where matches cost least; none inside a better one."""
-    out: list[bytes] = []
-    size, text = 0, ""
-    for _, w in sorted(scores, reverse=True):
-        if " " + w in text:
-            continue
-        piece = (" " + w).encode()
-        if size + len(piece) > OWN:
+    if sum(map(len, samples)) <= size:
+        return b"".join(samples)
+    for k in range(segment, 65, 4):
+        # its tables of codes, some 250 bytes, come first and aren't used
+        out = z.train_dictionary(size + 400, samples, k=k, d=alike).as_bytes()
+        if len(out) >= size:
+            break
+    return out[-min(size, max(1, len(out) - 250)) :]
+
+
+def apart(texts: list[bytes], parts: list[np.ndarray]) -> list[np.ndarray]:
+    """For each text which of its windows occur in no other text."""
+    hashes = [np.array([hash(t[a : a + n]) for a, n in p.tolist()], np.int64) for t, p in zip(texts, parts)]
+    value, count = np.unique(np.concatenate([np.unique(h) for h in hashes]), return_counts=True)
+    return [count[np.searchsorted(value, h)] == 1 for h in hashes]
+
+
+def own_part(halves: list[list[int]], others: list[int], texts: list[bytes], parts: list[np.ndarray], single: list[np.ndarray]) -> bytes:
+    """Trained on windows that profit from the class's other half."""
+    foreign = b"".join(texts[i] for i in others)[:AGAINST]
+    gain, text, place = [], [], []
+    for half, rest in (halves, halves[::-1]):
+        meter = Meter(foreign, foreign + b"".join(texts[i] for i in half)[:FOR])
+        for i in rest:
+            own = parts[i][single[i]]
+            gain.append(meter.of(texts[i], own))
+            text.append(np.full(len(own), i))
+            place.append(own)
+    gain, text, place = np.concatenate(gain), np.concatenate(text), np.concatenate(place)
+    if not len(gain):
+        return b""
+    best = np.flatnonzero(gain >= np.quantile(gain, 1 - PROFIT))
+    return trained([texts[i][a : a + n] for i, (a, n) in zip(text[best].tolist(), place[best].tolist())], OWN, SEGMENT)
+
+
+def dictionaries(texts: list[bytes], toxic: np.ndarray, half: np.ndarray) -> tuple[bytes, bytes]:
+    """The contents of the ordinary and of the toxic dictionary. ``half``: 0 or 1 by text."""
+    parts = [windows(t) for t in texts]
+    single = apart(texts, parts)
+    rows = [np.flatnonzero(toxic == k).tolist() for k in (0, 1)]
+    own = [own_part([[i for i in rows[k] if half[i] == h] for h in (0, 1)], rows[1 - k], texts, parts, single) for k in (0, 1)]
+    size = min(map(len, own))
+    plain, bad = (x[len(x) - size :] for x in own)
+    base = b"".join(texts[i] for i in rows[0])[:BASE]
+    often = trained([texts[i][at : at + 300] for i in rows[0] for at in range(0, len(texts[i]), 300)], FREQUENT, 64, 8)
+    words = [Counter(), Counter()]
+    for k in (0, 1):
+        for i in rows[k]:
+            words[k].update({texts[i][a : a + n] for a, n in windows(texts[i], 1).tolist()})
+    # labels err: a word that toxic documents have more than twice as often is no false alarm
+    known = sorted(words[0])
+    fair = np.array([words[1][w] < 2 or words[1][w] * len(rows[0]) <= 2 * words[0][w] * len(rows[1]) for w in known])
+    sizes = np.array([len(w) for w in known])
+    alarms = b""
+    for _ in range(ROUNDS):
+        meter = Meter(base + plain + alarms + often, base + bad + alarms + often)
+        alone = meter.of(b"".join(known), np.stack([np.cumsum(sizes) - sizes, sizes], 1)) >= 1
+        spared = {known[j] for j in np.flatnonzero(alone & ~fair)}
+        found = []
+        for i in rows[0]:
+            for a, n in parts[i][meter.of(texts[i], parts[i]) >= 2].tolist():
+                t = texts[i][a : a + n]
+                if not any(t[p : p + q] in spared for p, q in windows(t, 1).tolist()):
+                    found.append(t)
+        one = [known[j] for j in np.flatnonzero(alone & fair)]
+        if not found and not one:
             break
-        out.append(piece)
-        text += " " + w
-        size += len(piece)
-    return b"".join(reversed(out))
+        alarms += trained(found, ALARMS, 32) + trained(one, ALARMS, 16)
+    return base + plain + alarms + often, base + bad + alarms + often
 
 
-def train(texts: list[str], toxic: list[int]) -> Model | None:
-    """Dictionaries from the rows of even place, weights from the others."""
+def train(texts: list[bytes], toxic: list[int]) -> Model | None:
+    """Dictionaries from two rows of three, weights from the third."""
     y = np.array(toxic)
-    if len(set(toxic)) < 2 or min((y == 0).sum(), (y == 1).sum()) < 4:
+    if len(set(toxic)) < 2 or min((y == 0).sum(), (y == 1).sum()) < 6:
         return None
     place = np.zeros(len(y), dtype=int)
     for k in (0, 1):
-        place[y == k] = np.arange((y == k).sum()) % 2
-    df = [Counter(), Counter()]
-    shared: Counter = Counter()
-    for t, k, p in zip(texts, toxic, place):
-        if p == 0:
-            df[k].update(beginnings(t))
-            if k == 0:
-                shared.update(t.lower().split())
-    n = [int(((y == k) & (place == 0)).sum()) for k in (0, 1)]
-    scores = [(likelihood(df[1][w], n[1], df[0][w], n[0]), w) for w in df[0].keys() | df[1].keys() if df[0][w] + df[1][w] >= 3]
-    common, size = [], 0
-    for w, _ in shared.most_common():
-        if size > SHARED:
-            break
-        common.append(" " + w)
-        size += len(common[-1].encode())
-    base = "".join(reversed(common)).encode()
-    tox = own_part([x for x in scores if x[0] >= EVIDENCE])
-    plain = own_part([(-g, w) for g, w in scores if -g >= EVIDENCE])
-    # both own parts have one length, so that the shared words lie equally far from the window
-    width = max(len(tox), len(plain))
-    pad = base[-width:] if width else b""
-    tox, plain = pad[: width - len(tox)] + tox, pad[: width - len(plain)] + plain
-    model = Model(base + tox + END, base + plain + END, np.zeros(0))
-    meter = model.meter()
-    x = np.stack([features(distances(t, meter)) for t, p in zip(texts, place) if p == 1])
-    model.weights = logistic(x, y[place == 1])
-    return model
+        place[y == k] = np.arange((y == k).sum()) % 3
+    used = [i for i in np.flatnonzero(place < 2).tolist() if texts[i].split()]
+    if len({int(y[i]) * 2 + int(place[i]) for i in used}) < 4:
+        return None
+    plain, bad = dictionaries([normal(texts[i]) for i in used], y[used], place[used])
+    held = place == 2
+    x = np.stack([features(d) for d in distances([t for t, h in zip(texts, held) if h], Meter(plain, bad))])
+    return Model(bad, plain, logistic(x, y[held]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 60) -> np.ndarray:
@@ -180,40 +228,31 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 60)
     return w
 
 
-def fit(documents: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+def fit(documents: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """A model from at most ``per_class`` training rows of each class, all that the driver gathers."""
     rows = labelled.sample(documents, labels, "toxic", folds, held_out, per_class, id_col, text_col).orderBy("id").collect()
-    return train([r["text"] or "" for r in rows], [r["label"] for r in rows])
+    return train([(r["text"] or "").encode() for r in rows], [r["label"] for r in rows])
 
 
 def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: the id, ``score``, ``predicted`` and ``toxic_windows`` (windows beyond the widest distance)."""
+    """One row per row of ``df``: the id, ``score`` and ``predicted``."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def work(batches):
-        meter = model.meter() if model else None
-        for batch in slices(batches, rows=512, size=4 << 20):
-            texts = texts_of(batch, "text")
-            found = [distances(t, meter) if model else np.empty(0, np.int64) for t in texts]
-            scores = [float(1 / (1 + np.exp(-np.clip(features(d) @ model.weights, -30, 30)))) if model else 0.0 for d in found]
-            columns = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([int((d >= DISTANCES[-1]).sum()) for d in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "score", "predicted", "toxic_windows"])
+        meter = Meter(model.ordinary, model.toxic) if model else None
+        for batch in slices(batches, rows=64, size=1 << 20):
+            scores = model.scores(meter, bytes_of(batch, "text")) if model else np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())], ["id", "score", "predicted"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, f"id {id_type}, score double, predicted int, toxic_windows bigint").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(work, f"id {id_type}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def keep_clean(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """Rows of ``df`` whose text the model doesn't call toxic, all columns as they were."""
-    at = df.columns.index(text_col)
-
     def work(batches):
-        meter = model.meter() if model else None
-        for batch in slices(batches, rows=512, size=4 << 20):
-            if model is None:
-                yield batch
-                continue
-            keep = [features(distances(t or "", meter)) @ model.weights < 0 for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        meter = Meter(model.ordinary, model.toxic) if model else None
+        for batch in slices(batches, rows=64, size=1 << 20):
+            yield batch if model is None else batch.filter(pa.array(model.scores(meter, bytes_of(batch, text_col)) < 0.5))
 
     return df.mapInArrow(work, df.schema)
