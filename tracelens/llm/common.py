@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,11 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has no such setting (tests on one machine) a temporary folder stands in.
+    Where the session has no such setting and runs in one process, a temporary folder is set; on a cluster, whose machines
+    can't read each other's disks, that is an error.
     """
     key = "spark.checkpoint.dir"
     path = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{key} must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tracelens-")
         spark.conf.set(key, path)
     return path.rstrip("/")
@@ -54,15 +58,23 @@ def drop_materialized(df: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def wanted_rows(rows: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
-    """``rows`` whose ``id`` is among ``ids`` (distinct). A bitmap of hashed ids goes ahead of the join and keeps most other
-    rows, with their texts, out of its shuffle. It has at most 2^bits / 64 words of 16 bytes, however many ids there are;
-    where it fills up it only passes more rows."""
-    at = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
-    word, bit = F.shiftright(at, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << bits}) & 63 as int))")
+def wanted_rows(rows: DataFrame, ids: DataFrame, on: tuple[str, ...] = ("id",), bits: int = 24) -> DataFrame:
+    """``rows`` whose ``on`` columns are among ``ids`` (distinct). A bitmap of hashed ids goes ahead of the join and keeps
+    most other rows, with their texts, out of its shuffle. It has at most 2^bits / 64 words of 16 bytes, however many ids
+    there are; where it fills up it only passes more rows."""
+    hashed = F.xxhash64(*on)
+    word = F.shiftright(F.pmod(hashed, F.lit(1 << bits)), 6)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(hashed, F.lit(64)).cast("int"))
     words = ids.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
     near = rows.withColumn("__word", word).join(F.broadcast(words), "__word").filter(F.col("__bits").bitwiseAND(bit) != 0).drop("__word", "__bits")
-    return near.join(ids, "id")
+    return near.join(ids, list(on))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
 
 
 def fold(id_col: str, folds: int):

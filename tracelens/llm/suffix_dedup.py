@@ -10,8 +10,9 @@ those inside it.
 Words are runs of bytes other than ASCII white space. Documents of equal words are one class: the smallest id stands
 for it, the others repeat it as a whole. Of the places of a passage, the one in the smallest id (then at the smallest
 position) comes first. Null and empty texts, texts shorter than the least length, and rows with a null id have no
-repeated passage. Rows that repeat an id are taken as one document. Only starts with at most ``HEAVY`` suffixes are
-gathered in one task; the passages of more frequent ones meet by aggregates and a join.
+repeated passage. Of rows that repeat an id with different texts one counts, the one with the smallest hash of its text;
+``text_hash`` names it, and the others are neither searched nor cut. Only starts with at most ``HEAVY`` suffixes are
+gathered in one task; the passages of more frequent ones meet by aggregates and a join. Both ways find the same.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import bytes_of, materialize, slices, wanted_rows
+from .common import bytes_of, drop_materialized, materialize, slices, unused, wanted_rows
 
 #: Words of the least passage and of a suffix's start. A window of LEAST - SEED + 1 starts has one suffix at least.
 LEAST, SEED = 50, 20
 #: Suffixes of one start that are compared in one task.
-HEAVY = 10_000
+HEAVY = 200
 _u = np.uint64
 
 
@@ -53,9 +54,10 @@ def minimisers(hashes: np.ndarray, least: int = LEAST, seed: int = SEED) -> tupl
     return at, starts[at]
 
 
-def scan(df: DataFrame, least: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, s1, s2, at array<int>, h array<bigint>): words, signature of the word sequence, kept suffixes."""
-    id_type = df.schema[id_col].dataType.simpleString()
+def scan(rows: DataFrame, least: int, seed: int) -> DataFrame:
+    """One row per id of (id, t, text): (id, t, n, s1, s2, at array<int>, h array<bigint>): words, signature of the word
+    sequence, kept suffixes."""
+    id_type = rows.schema["id"].dataType.simpleString()
 
     def work(batches):
         for batch in slices(batches, rows=512, size=4 << 20):
@@ -70,22 +72,28 @@ def scan(df: DataFrame, least: int, seed: int, id_col: str, text_col: str) -> Da
                 at.append(p.astype(np.int32))
                 h.append(q.view(np.int64))
             columns = [pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(h, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n", "s1", "s2", "at", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "t", "n", "s1", "s2", "at", "h"])
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    return rows.mapInArrow(work, f"id {id_type}, n bigint, s1 bigint, s2 bigint, at array<int>, h array<bigint>")
+    scanned = materialize(rows.filter("id is not null").select("id", "t", "text").mapInArrow(work, f"id {id_type}, t bigint, n bigint, s1 bigint, s2 bigint, at array<int>, h array<bigint>"))
+    # counted before they meet: a repeated id may be on any number of rows
+    chosen = scanned.groupBy("id").agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("id", "t")
+    repeated = materialize(chosen)
+    if repeated.limit(1).count() == 0:
+        return scanned
+    once = scanned.join(repeated, ["id", "t"]).groupBy("id", "t").agg(*(F.first(c).alias(c) for c in ("n", "s1", "s2", "at", "h")))
+    return materialize(scanned.join(repeated.select("id"), "id", "left_anti").unionByName(once))
 
 
 def passages_at(suffixes: DataFrame, texts: DataFrame, least: int, seed: int) -> DataFrame:
-    """(h, id, p, k array<bigint>): for each suffix the hashes of the passages whose minimiser it is; they begin at word ``p`` and the next ones."""
+    """(h, id, p, k array<bigint>, big): for each suffix the hashes of the passages whose minimiser it is; they begin at word ``p`` and the next ones."""
     id_type = texts.schema["id"].dataType.simpleString()
-    per_text = suffixes.groupBy("id").agg(F.collect_list("at").alias("at"))  # of one document
+    per_text = suffixes.groupBy("id", "t").agg(F.collect_list("at").alias("at"), F.collect_list(F.when(F.col("c") > HEAVY, F.col("at"))).alias("often"))  # of one document
 
     def work(batches):
         for batch in slices(batches, rows=256, size=4 << 20):
             ids = batch.column(0)
-            rows, h, p, k, sizes = [], [], [], [], []
-            for i, (at, data) in enumerate(zip(batch.column(1).to_pylist(), bytes_of(batch, "text"))):
+            rows, h, p, k, sizes, big = [], [], [], [], [], []
+            for i, (at, often, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), bytes_of(batch, "text"))):
                 _, _, words = textops.word_hashes(data)
                 chosen, starts = choices(words, least, seed)
                 wanted = np.isin(chosen, at)
@@ -93,13 +101,15 @@ def passages_at(suffixes: DataFrame, texts: DataFrame, least: int, seed: int) ->
                 rows.append(np.full(len(begin), i))
                 h.append(starts[chosen[begin]])
                 p.append(begin)
+                big.append(np.isin(chosen[begin], often))
                 k.append(textops.windows(words, least)[wanted])
                 sizes.append(np.bincount(np.searchsorted(begin, np.flatnonzero(wanted), side="right") - 1, minlength=len(begin)))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(sizes))), pa.int32()), pa.array(np.concatenate(k).view(np.int64)))
-            columns = [pa.array(np.concatenate(h).view(np.int64)), ids.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(p), pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "id", "p", "k"])
+            columns = [pa.array(np.concatenate(h).view(np.int64)), ids.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(p), pa.int32()), lists, pa.array(np.concatenate(big))]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "id", "p", "k", "big"])
 
-    return per_text.join(wanted_rows(texts, suffixes.select("id").distinct()), "id").select("id", "at", "text").mapInArrow(work, f"h bigint, id {id_type}, p int, k array<bigint>")
+    found = wanted_rows(texts, suffixes.select("id", "t").distinct(), ("id", "t")).dropDuplicates(["id", "t"])
+    return per_text.join(found, ["id", "t"]).select("id", "at", "often", "text").mapInArrow(work, f"h bigint, id {id_type}, p int, k array<bigint>, big boolean")
 
 
 MATCH = ["id", "from", "to", "source", "first"]
@@ -184,35 +194,48 @@ def repeated_passages(df: DataFrame, least: int = LEAST, seed: int = SEED, id_co
     """One row per maximal repeated stretch of a document: the id, ``start_word``, ``end_word`` (exclusive), ``n_words``,
     ``source_id`` (the smallest other document with a passage of it) and ``first`` (its passages are the first of all their
     places; every other place is not ``first``)."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    scanned = materialize(scan(rows, least, seed, "id", "text"))
-    whole = scanned.filter(F.col("n") >= least).select("id", "n", "s1", "s2")
-    classes = whole.groupBy("s1", "s2").agg(F.min("id").alias("r"), F.max("id").alias("z")).filter("r <> z")
-    copies = whole.join(classes, ["s1", "s2"]).select("id", "n", "r", "z")
+    rows = hashed(df, id_col, text_col)
+    scanned = scan(rows, least, seed)
+    whole = scanned.filter(F.col("n") >= least).select("id", "t", "n", "s1", "s2")
+    classes = materialize(whole.groupBy("s1", "s2").agg(F.min("id").alias("r"), F.max("id").alias("z")).filter("r <> z"))
+    copies = materialize(whole.join(classes, ["s1", "s2"]).select("id", "t", "n", "r", "z"))
     distinct = scanned.join(copies.filter("id <> r").select("id"), "id", "left_anti")
-    suffixes = distinct.select("id", F.explode(F.arrays_zip("at", "h")).alias("x")).select("id", "x.at", "x.h").distinct()
-    often = suffixes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    suffixes = materialize(distinct.select("id", "t", F.explode(F.arrays_zip("at", "h")).alias("x")).select("id", "t", "x.at", "x.h"))
+    # written before it is joined, so that a frequent start can be split over tasks
+    often = materialize(suffixes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
     wanted = materialize(suffixes.join(often, "h"))
-    heavy = F.broadcast(wanted.filter(F.col("c") > HEAVY).select("h").distinct())
+    drop_materialized(suffixes)
     around = materialize(passages_at(wanted, rows, least, seed))
-    matches = gathered(around.join(heavy, "h", "left_anti"), least, seed).unionAll(spread(around.join(heavy, "h"), least, seed))
-    whole_copies = copies.select("id", F.lit(0).alias("from"), F.col("n").cast("int").alias("to"), F.when(F.col("id") == F.col("r"), F.col("z")).otherwise(F.col("r")).alias("source"), (F.col("id") == F.col("r")).alias("first")).distinct()
+    matches = gathered(around.filter("not big").drop("big"), least, seed).unionAll(spread(around.filter("big").drop("big"), least, seed))
+    whole_copies = copies.select("id", F.lit(0).alias("from"), F.col("n").cast("int").alias("to"), F.when(F.col("id") == F.col("r"), F.col("z")).otherwise(F.col("r")).alias("source"), (F.col("id") == F.col("r")).alias("first"))
     # a copy has what its class has; what it repeats as a whole is said once
-    spans = merged(matches.unionAll(whole_copies))
-    return spans.select(F.col("id").alias(id_col), F.col("from").cast("long").alias("start_word"), F.col("to").cast("long").alias("end_word"), (F.col("to") - F.col("from")).cast("long").alias("n_words"), F.col("source").alias("source_id"), "first")
+    spans = merged(matches.unionAll(whole_copies)).join(scanned.select("id", "t"), "id")
+    return spans.select(
+        F.col("id").alias(id_col), F.col("from").cast("long").alias("start_word"), F.col("to").cast("long").alias("end_word"), (F.col("to") - F.col("from")).cast("long").alias("n_words"),
+        F.col("source").alias("source_id"), "first", F.col("t").alias("text_hash"),
+    )
+
+
+def hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, text): rows with a hash of their text; a null text counts as empty."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
 def without(df: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the stretches that aren't ``first`` cut out of ``text_col``; rows keep their other columns."""
-    cut = passages.filter("not first").groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("__cut"))
-    joined = df.join(cut, df[id_col] == F.col("__id"), "left").drop("__id")
+    """``df`` with the stretches that aren't ``first`` cut out of ``text_col``; rows keep their other columns. Rows whose
+    text isn't the one that was searched under their id stay whole."""
+    key, hash_col, spans_col = unused(df, "id"), unused(df, "hash"), unused(df, "cut")
+    cut = passages.filter("not first").groupBy(F.col(id_col).alias(key), F.col("text_hash").alias(hash_col)).agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias(spans_col))
+    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    joined = df.join(cut, (F.col(id_col) == F.col(key)) & (text == F.col(hash_col)), "left").drop(key, hash_col)
     keep = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def work(batches):
         for batch in slices(batches, rows=512, size=4 << 20):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            for i, spans in enumerate(batch.column(batch.schema.get_field_index("__cut")).to_pylist()):
+            for i, spans in enumerate(batch.column(batch.schema.get_field_index(spans_col)).to_pylist()):
                 if spans and texts[i]:
                     texts[i] = remove(texts[i].encode(), [(s["start_word"], s["end_word"]) for s in spans]).decode()
             columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(batch.schema.get_field_index(c)) for c in keep]

@@ -42,8 +42,8 @@ AGAINST, FOR = 2_000_000, 400_000
 BASE, OWN, ALARMS, FREQUENT = 200_000, 4_000, 30_000, 8_000
 #: Share of a class's windows that its own part is trained on, bytes of a trained segment, rounds of false alarms.
 PROFIT, SEGMENT, ROUNDS = 0.03, 12, 3
-#: Distances in bytes that are counted.
-DISTANCES = (1, 2, 3, 4, 6, 8)
+#: Distances in bytes, of two successive windows, that are counted.
+DISTANCES = (2, 3, 4, 6, 8, 12)
 #: Windows compressed in one call.
 CALL = 1 << 15
 
@@ -115,10 +115,12 @@ def distances(texts: list[bytes], meter: Meter) -> list[np.ndarray]:
 
 
 def features(d: np.ndarray) -> np.ndarray:
-    """Of a document's distances: counts beyond each limit (logarithms and shares), their mean and greatest."""
+    """Of a document's distances, each added to the next one's: counts beyond each limit (logarithms and shares), their
+    mean and greatest. What a text really holds shows in each window over it, the accidents of one match do not."""
+    d = d[:-1] + d[1:] if len(d) > 1 else d
     counts = (d[:, None] >= np.array(DISTANCES)).sum(0)
     n = max(1, len(d))
-    return np.array([1.0, *np.log1p(counts), *np.sqrt(counts / n), d.mean() if len(d) else 0.0, min(8, max(0, int(d.max()))) / 4 if len(d) else 0.0])
+    return np.array([1.0, *np.log1p(counts), *np.sqrt(counts / n), d.mean() if len(d) else 0.0, min(12, max(0, int(d.max()))) / 4 if len(d) else 0.0])
 
 
 def trained(samples: list[bytes], size: int, segment: int, alike: int = 6) -> bytes:
@@ -130,7 +132,10 @@ def trained(samples: list[bytes], size: int, segment: int, alike: int = 6) -> by
         return b"".join(samples)
     for k in range(segment, 65, 4):
         # its tables of codes, some 250 bytes, come first and aren't used
-        out = z.train_dictionary(size + 400, samples, k=k, d=alike).as_bytes()
+        try:
+            out = z.train_dictionary(size + 400, samples, k=k, d=alike).as_bytes()
+        except z.ZstdError:  # too few samples
+            return b"".join(samples)[-size:]
         if len(out) >= size:
             break
     return out[-min(size, max(1, len(out) - 250)) :]
@@ -158,7 +163,8 @@ def own_part(halves: list[list[int]], others: list[int], texts: list[bytes], par
     if not len(gain):
         return b""
     best = np.flatnonzero(gain >= np.quantile(gain, 1 - PROFIT))
-    return trained([texts[i][a : a + n] for i, (a, n) in zip(text[best].tolist(), place[best].tolist())], OWN, SEGMENT)
+    samples = [texts[i][a : a + n] for i, (a, n) in zip(text[best].tolist(), place[best].tolist())]
+    return trained(samples, OWN, SEGMENT)
 
 
 def dictionaries(texts: list[bytes], toxic: np.ndarray, half: np.ndarray) -> tuple[bytes, bytes]:
