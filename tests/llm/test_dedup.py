@@ -63,6 +63,11 @@ def test_minhash_against_brute_force(spark):
 
 def test_minhash_edges(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string, kept boolean")).count() == 0
+    text = "a b c d e f g h"
+    rows = minhash.near_duplicates(spark.createDataFrame([(1, text), (2, text), (2, "other words " * 9), (3, "other words " * 9), (4, text * 20_000)], "doc_id long, text string")).collect()
+    chosen = min((r.text_hash, r.component_id) for r in rows if r.doc_id == 2)[1]
+    want = {(1, text): 1, (2, text): 1, (2, "o"): 2, (3, "o"): 3} if chosen == 1 else {(1, text): 1, (2, text): 2, (2, "o"): 2, (3, "o"): 2}
+    assert sorted(r.component_id for r in rows) == sorted([*want.values(), 4])
     rows = minhash.near_duplicates(spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d")], "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in rows) == [("1", "1", True), ("1", "1", True), ("None", "None", True)]
 
@@ -196,7 +201,8 @@ def test_edited_versions_against_brute_force(spark):
 def test_pipeline_on_small_tables(spark, tmp_path):
     cp = pytest.importorskip("corpus_pipeline")
     rng = random.Random(9)
-    rows = [(i, " ".join(prose(rng, 120)) + (" moron" if i % 5 == 0 else ""), "en", "s", 0) for i in range(300)]
+    insult = lambda i: [x for w in prose(rng, 4) for x in ("moron", w)] if i % 5 == 0 else []
+    rows = [(i, " ".join(prose(rng, 60) + insult(i) + prose(rng, 60)), "en", "s", 0) for i in range(300)]
     passage, other = " ".join(prose(rng, 70)), " ".join(prose(rng, 60))
     rows += [(700, rows[1][1], "en", "s", 0), (701, "x y z. " + passage, "en", "s", 0), (702, passage + " " + other + " mail bob@example.com now", "en", "s", 0), (703, None, None, None, None), (None, "no id", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -214,3 +220,73 @@ def test_pipeline_on_small_tables(spark, tmp_path):
     assert "<EMAIL>" in kept[3][702] and kept[3][703] is None
     pieces = cp.STAGES[-1][1](spark, now, str(tmp_path)).collect()
     assert {r.doc_id for r in pieces} == set(kept[3])
+
+
+@pytest.mark.parametrize("family", [20_000, 3])
+def test_families_of_any_size_give_the_same(spark, family, monkeypatch):
+    monkeypatch.setattr(minhash, "FAMILY", family)
+    monkeypatch.setattr(minhash, "CHUNK", 7)
+    rng = random.Random(21)
+    base, docs = prose(rng, 60), []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(3000)}"
+        docs.append(" ".join(w))
+    sets = [frozenset(zip(w, w[1:], w[2:], w[3:])) for w in map(str.split, docs)]
+    want = Union(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                want.join(i, j)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert got == {i: want.find(i) for i in range(len(docs))}
+
+
+def test_shared_cores_with_different_surroundings(spark):
+    rng = random.Random(1)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    docs = []
+    for size in (30, 40, 45):
+        core = word(size)
+        for _ in range(40):
+            left = rng.randrange(51 - size)
+            passage = word(left) + core + word(50 - size - left)
+            docs += [" ".join(word(30) + passage + word(30)) for _ in range(2)]
+    got, gone = repeated_and_gone(spark, docs, 5)
+    assert all(30 <= min(got[i]) < max(got[i]) < 80 and len(got[i]) == 50 for i in range(len(docs)))
+    assert all((len(gone[i]) == 50) == (i % 2 == 1) for i in range(len(docs)))
+
+
+def test_suffixes_on_odd_tables(spark):
+    rng = random.Random(2)
+    big = " ".join(prose(rng, 300))
+    df = spark.createDataFrame([(1, big, 1), (1, "short", 2), (1, big, 3), (2, "x " + big, 4), (None, big, 5), (3, None, 6)], "doc_id long, text string, __id int")
+    found = suffix_dedup.repeated_passages(df)
+    rows = found.collect()
+    assert {r.doc_id for r in rows} in ({1, 2}, set())
+    cut = suffix_dedup.without(df, found)
+    assert cut.columns == df.columns
+    texts = {r["__id"]: r.text for r in cut.collect()}
+    assert texts[2] == "short" and texts[5] == big and texts[6] is None and texts[1] == texts[3] == big
+    assert texts[4].split() == (["x"] if rows else ["x", *big.split()])
+    assert suffix_dedup.repeated_passages(df.limit(0)).count() == 0 and suffix_dedup.without(df.limit(0), found).count() == 0
+
+
+def test_embeddings_at_the_threshold(spark):
+    a = [1.0, 0.0]
+    rows = [(1, a, 1, 5), (2, [0.93, float(np.sqrt(1 - 0.93**2))], 1, 5), (3, [0.9299999, float(np.sqrt(1 - 0.9299999**2))], 1, 5), (None, a, 1, 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links int")
+    x, y = np.array(rows[0][1]), np.array(rows[1][1])
+    tie = bool(x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.93)
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df).collect()}
+    assert got[1] == int(tie) and got[2] == int(tie) + 1 and got[3] == 1 and got[None] == 0
+
+
+def test_pipeline_loses_no_text(spark):
+    cp = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(5)
+    a, b = (" ".join(prose(rng, 80)) for _ in range(2))
+    docs = spark.createDataFrame([(1, a, "en", "s", 0), (1, b, "en", "s", 0), (1, a, "de", "t", 0), (2, a, "en", "s", 0), (None, a, "en", "s", 0), (None, a, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.drop_near_duplicates(spark, docs, "")
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect() if r.doc_id != 2) == sorted([("1", a), ("1", b), ("None", a), ("None", a)])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, texts_of
-from .textops import Store, code_hashes, code_table
+from .textops import BASE, Store, code_hashes, code_table, mix
 
 LETTER, NUMBER, OTHER, WHITE, SPACE, BREAK = range(6)
 MAX_CODE = 0x110000
@@ -129,12 +129,13 @@ class Vocabulary:
         with open(path, "rb") as f:
             rows = [line.split() for line in f if line.strip()]
         self.ranks = {base64.b64decode(a): int(b) for a, b in rows}
-        self.token = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        self.token: list = [None] * (max(self.ranks.values(), default=-1) + 1)
         for k, v in self.ranks.items():
             self.token[v] = k
-        self.sizes = np.array([len(t) for t in self.token], np.int32)
+        self.sizes = np.array([len(t or b"") for t in self.token], np.int32)
         self.store = Store(CACHE)
         self.table = code_table(MAX_CODE)
+        self.other = mix(self.table ^ np.uint64(BASE))
 
     def _merge_short(self, piece: bytes) -> list[int]:
         get, none = self.ranks.get, len(self.token)
@@ -201,7 +202,7 @@ def encode_texts(texts: list[str], vocab: Vocabulary) -> tuple[list[np.ndarray],
     starts = boundaries(codes, stops[:-1])
     ends = np.append(starts[1:], len(codes))
     pieces = lambda at: [np.array(vocab.merge(joined[a:b].encode()), np.uint32) for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-    ids, bound = vocab.store.gather(code_hashes(codes, starts, vocab.table), pieces)
+    ids, bound = vocab.store.gather(code_hashes(codes, starts, vocab.table), code_hashes(codes, starts, vocab.other), pieces)
     ids = ids.astype(np.int32)
     lengths = vocab.sizes[ids]
     cuts = list(zip(bound[np.searchsorted(starts, stops - sizes)].tolist(), bound[np.searchsorted(starts, stops)].tolist()))
@@ -240,8 +241,8 @@ def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str =
         for batch in slices(batches, rows=1024, size=4 << 20):
             ids = batch.column(batch.schema.get_field_index(ids_col))
             offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-            if len(flat) and int(flat.min()) < 0:
-                raise ValueError("negative token id")
+            if unknown := {i for i in np.unique(flat).tolist() if not 0 <= i < len(token) or token[i] is None}:
+                raise ValueError(f"unknown token ids: {sorted(unknown)[:5]}")
             out = [b"".join([token[i] for i in flat[a:b].tolist()]) for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(out, pa.binary())], [*keep, out_col])
 

@@ -47,7 +47,7 @@ def cuts(dim: int) -> np.ndarray:
 
 
 def prepare(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(id, label, dim, s1, s2, v): comparable vectors, rotated and of unit length, with a signature of the raw numbers."""
+    """(id, label, dim, s1, s2, v): comparable vectors in double precision, with a signature of the raw numbers."""
     kinds = [df.schema[c].dataType.simpleString() for c in (id_col, label_col)]
 
     def work(batches):
@@ -63,11 +63,10 @@ def prepare(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> Data
                     continue
                 if not np.isfinite(norm) or norm < 1e-150:  # extreme lengths are scaled first
                     a = a / np.abs(a).max()
-                    norm = float(np.sqrt((a * a).sum()))
                 bits = np.array(x, np.float64) + 0.0
                 words = bits.view(np.uint64) + np.arange(1, len(x) + 1, dtype=np.uint64) * np.uint64(GOLDEN)
                 keep.append(i)
-                for k, value in zip(out, (len(x), int(mix(words).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(words ^ np.uint64(0x5851F42D4C957F2D))).astype(np.int64)), (rotation(len(x)) @ (a / norm)).tobytes())):
+                for k, value in zip(out, (len(x), int(mix(words).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(words ^ np.uint64(0x5851F42D4C957F2D))).astype(np.int64)), a.tobytes())):
                     out[k].append(value)
             at = pa.array(keep, pa.int64())
             types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
@@ -77,6 +76,12 @@ def prepare(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> Data
     return rows.mapInArrow(work, f"id {kinds[0]}, label {kinds[1]}, dim int, s1 bigint, s2 bigint, v binary")
 
 
+def turned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows rotated and of unit length, and their lengths."""
+    norm = np.sqrt((x * x).sum(1))
+    return (x / norm[:, None]) @ rotation(x.shape[1]).T, norm
+
+
 def half_shell(depth: int) -> np.ndarray:
     """Offsets to neighbouring cells, one of each opposite pair, after the cell itself."""
     ahead = [o for o in product((-1, 0, 1), repeat=depth) if next((c for c in o if c), 1) > 0]
@@ -94,7 +99,7 @@ def deal(classes: DataFrame, budget: float) -> DataFrame:
             rows, block, cell, guest = [], [], [], []
             for dim, depth in {*zip(dims.tolist(), depths.tolist())}:
                 at = np.flatnonzero((dims == dim) & (depths == depth))
-                x = np.frombuffer(b"".join([data[i] for i in at]), np.float64).reshape(-1, dim)
+                x, _ = turned(np.frombuffer(b"".join([data[i] for i in at]), np.float64).reshape(-1, dim))
                 bounds = cuts(dim)
                 for b in range(len(bounds) - 1):
                     lead = min(depth, int(bounds[b + 1] - bounds[b]))
@@ -119,8 +124,9 @@ def deal(classes: DataFrame, budget: float) -> DataFrame:
     return classes.select("label", "dim", "depth", "id", "mult", "v").mapInArrow(work, f"label {kinds[0]}, dim int, block int, cell bigint, guest boolean, id {kinds[1]}, mult bigint, v binary")
 
 
-def links_of(x: np.ndarray, y: np.ndarray, block: int, cosine: float, budget: float, same: bool, guests: tuple[np.ndarray, np.ndarray]):
-    """(rows of x, rows of y) linked and first proposed by ``block``, in bounded pieces."""
+def links_of(raw: tuple[np.ndarray, np.ndarray], block: int, cosine: float, budget: float, same: bool, guests: tuple[np.ndarray, np.ndarray]):
+    """(rows of x, rows of y) linked and first proposed by ``block``, in bounded pieces. The rotated vectors propose, the raw ones decide."""
+    (x, long), (y, wide) = map(turned, raw)
     bounds = cuts(x.shape[1])
     limit = [budget * (bounds[b + 1] - bounds[b]) / x.shape[1] + 1e-12 for b in range(len(bounds) - 1)]
     part = [slice(bounds[b], bounds[b + 1]) for b in range(len(bounds) - 1)]
@@ -139,7 +145,7 @@ def links_of(x: np.ndarray, y: np.ndarray, block: int, cosine: float, budget: fl
         i, j = np.nonzero(found)
         for k in range(0, len(i), 65536):
             p, q = i[k : k + 65536] + at, j[k : k + 65536]
-            ok = np.einsum("ij,ij->i", x[p], y[q]) >= cosine
+            ok = np.einsum("ij,ij->i", raw[0][p], raw[1][q]) / (long[p] * wide[q]) >= cosine
             if ok.any():
                 yield p[ok], q[ok]
 
@@ -147,7 +153,8 @@ def links_of(x: np.ndarray, y: np.ndarray, block: int, cosine: float, budget: fl
 def range_join(dealt: DataFrame, cosine: float, budget: float) -> DataFrame:
     """(id, other, n): links of ``id`` counted in some cell, or (other not null) an edge of a spanning forest."""
     where = ["label", "dim", "block", "cell"]
-    sizes = dealt.groupBy(*where).count().filter(F.col("count") > CHUNK).withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")).drop("count")
+    # written before it is joined, so that a large cell can be split over tasks
+    sizes = materialize(dealt.groupBy(*where).count().filter(F.col("count") > CHUNK).withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")).drop("count"))
     split = dealt.join(sizes, where, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     split = split.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     split = split.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
@@ -163,7 +170,7 @@ def range_join(dealt: DataFrame, cosine: float, budget: float) -> DataFrame:
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         count, forest = np.zeros(len(v), np.int64), Forest(len(v))
-        for p, q in links_of(v[left], v[right], block, cosine, budget, i == j, (guest[left], guest[right])):
+        for p, q in links_of((v[left], v[right]), block, cosine, budget, i == j, (guest[left], guest[right])):
             a, b = left[p], right[q]
             np.add.at(count, a, mult[b])
             np.add.at(count, b, mult[a])

@@ -9,8 +9,12 @@ Documents with equal sets are one class and go through once, whatever their numb
 is first held against one hub only. Components of the confirmed links then show which buckets are settled; in the
 others, members of different components are held against each other, so that every proposed link counts. Nothing is
 capped. Members of the open buckets are gathered into families, whose documents meet as pairs of bounded chunks; there
-products of incidence matrices give all intersections, and only edges of spanning forests leave the task. Null and empty texts, and null ids, link with nothing and form a component of their own. Ids are taken as
-unique apart from repeated rows.
+products of incidence matrices give all intersections of those that share a bucket, and only edges of spanning forests
+leave the task. A family of more than ``FAMILY`` documents meets bucket by bucket instead, which takes more copies of
+texts and finds the same.
+
+Null and empty texts, and null ids, link with nothing and form a component of their own. Of rows that repeat an id with
+different texts the one with the smallest hash of its text takes part; the others link with nothing either, and stay.
 """
 
 from __future__ import annotations
@@ -21,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import bytes_of, drop_materialized, materialize, slices, wanted_rows
+from .common import bytes_of, drop_materialized, hashed, materialize, slices, wanted_rows
 from .components import Forest, connected_components
 
 #: Registers, bits of their mantissa, bands and registers of a band.
-REGISTERS, MANTISSA, BANDS, ROWS = 128, 10, 32, 5
-#: Documents of a chunk, columns of an incidence matrix, and the most documents that meet as one family.
+REGISTERS, MANTISSA, BANDS, ROWS = 256, 10, 48, 5
+#: Documents of a chunk, columns of an incidence matrix, and the most documents that go through as one family.
 CHUNK, WIDTH, FAMILY = 1000, 4096, 20_000
 _rng = np.random.Generator(np.random.PCG64(20250101))
 BAND = np.stack([_rng.choice(REGISTERS, ROWS, replace=False) for _ in range(BANDS)])
@@ -87,9 +91,9 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((same - COLLISION) / (1 - COLLISION), 0, 1)
 
 
-def sketch(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, s1, s2, regs, full): set size, signature, registers and filled buckets."""
-    id_type = df.schema[id_col].dataType.simpleString()
+def sketch(rows: DataFrame, k: int) -> DataFrame:
+    """(id, t, n, s1, s2, regs, full) of rows (id, t, text): set size, signature, registers and filled buckets."""
+    id_type = rows.schema["id"].dataType.simpleString()
 
     def work(batches):
         for batch in slices(batches, rows=512, size=4 << 20):
@@ -101,10 +105,9 @@ def sketch(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 for column, value in zip((n, s1, s2, regs, full), (len(s), a, b, r.tobytes(), f)):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip((n, s1, s2, regs, full), kinds))], ["id", "n", "s1", "s2", "regs", "full"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip((n, s1, s2, regs, full), kinds))], ["id", "t", "n", "s1", "s2", "regs", "full"])
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, f"id {id_type}, n bigint, s1 bigint, s2 bigint, regs binary, full int")
+    return rows.select("id", "t", "text").mapInArrow(work, f"id {id_type}, t bigint, n bigint, s1 bigint, s2 bigint, regs binary, full int")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -193,12 +196,14 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
 
 
 def settle(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (a, b) that join components through links within a unit. ``members``: (unit, id, c, text), c the component so far."""
+    """Edges (a, b) that join components through links within a unit. ``members``: (unit, id, c, keys, text), c the component
+    so far, keys the buckets; only documents that share a bucket are held against each other."""
     kind = members.schema["id"].dataType.simpleString()
-    sizes = members.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    # written before it is joined, so that a large unit can be split over tasks
+    sizes = materialize(members.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))
     split = members.join(sizes, "unit").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    split = split.select("unit", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "c", "text")
+    split = split.select("unit", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "c", "keys", "text")
 
     def work(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -211,7 +216,8 @@ def settle(members: DataFrame, k: int, percent: int) -> DataFrame:
             n = np.array([len(s) for s in sets], np.float64)
             left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
             common = overlaps(sets, left, right)
-            p, q = np.nonzero((100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (known[left][:, None] != known[right][None, :]))
+            met = overlaps([np.asarray(x, np.int64) for x in group["keys"].to_pylist()], left, right) > 0
+            p, q = np.nonzero(met & (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (known[left][:, None] != known[right][None, :]))
             forest = Forest(int(known.max()) + 1)
             for a, b in zip(left[p].tolist(), right[q].tolist()):
                 if forest.root[known[a]] != forest.root[known[b]]:
@@ -224,32 +230,49 @@ def settle(members: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: the id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketches = materialize(sketch(rows, k, "id", "text"))
+    """One row per row of ``df``: the id, ``n_shingles``, ``component_id`` (smallest id reachable), ``kept`` and the hash of
+    the text."""
+    rows = hashed(df, id_col, text_col)
+    sketches = materialize(sketch(rows, k))
+    # ids with more than one text
+    several = materialize(sketches.filter("id is not null").groupBy("id").agg(F.min("t").alias("t"), F.max("t").alias("z")).filter("t <> z").select("id", "t"))
+    some = several.limit(1).count() > 0
+    if some:
+        others = sketches.join(several.withColumnRenamed("t", "chosen"), "id").filter("t <> chosen").select("id", "t").distinct()
+        others = materialize(others)
+        rows = rows.join(others, ["id", "t"], "left_anti")
     live = sketches.filter("n > 0 and id is not null")
+    live = live.join(others, ["id", "t"], "left_anti") if some else live
     classes = materialize(live.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("full").alias("full"), F.first("regs").alias("regs")))
     keyed = materialize(bands(classes))
-    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).filter("size > 1")
+    # written before it is joined, so that a large bucket can be split over tasks
+    groups = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).filter("size > 1"))
     members = materialize(keyed.join(groups, "key"))
     drop_materialized(keyed)
     star = materialize(members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     wanted = star.select(F.col("a").alias("id")).unionAll(star.select("b")).distinct()
-    texts = materialize(wanted_rows(rows, wanted).dropDuplicates(["id"]))
+    texts = materialize(wanted_rows(rows.select("id", "text"), wanted).dropDuplicates(["id"]))
     links = materialize(confirm(likely(star, classes, percent), texts, k, percent))
+    drop_materialized(star)
     found = materialize(connected_components(links, "a", "b"))
     # buckets of three and more whose members aren't all in one component yet
-    large = members.filter("size > 2").join(found.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    open_keys = large.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("key")
+    large = materialize(members.filter("size > 2").join(found.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")))
+    drop_materialized(members)
+    open_keys = materialize(large.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("key"))
     rest = materialize(large.join(open_keys, "key").select("key", "id", "hub", "c"))
+    drop_materialized(large)
     if rest.limit(1).count():
-        family = connected_components(rest, "hub", "id").withColumnRenamed("component", "family")
-        size = family.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
-        # a family too large to meet as a whole meets bucket by bucket
-        units = rest.join(family, "id").join(size, "family").select(F.when(F.col("m") <= FAMILY, F.concat(F.lit("f"), "family")).otherwise(F.concat(F.lit("k"), "key")).alias("unit"), "id", "c").distinct()
-        more = materialize(settle(units.join(texts, "id"), k, percent))
-        found = connected_components(links.unionAll(more), "a", "b")
-    of_class = classes.select("s1", "s2", F.col("id").alias("r")).join(found.withColumnRenamed("id", "r"), "r", "left").select("s1", "s2", F.coalesce("component", "r").alias("c"))
-    joined = live.select("id", "n", "s1", "s2").join(of_class, ["s1", "s2"]).select("id", "n", "c")
-    alone = sketches.filter("not (n > 0 and id is not null)").select("id", "n", F.col("id").alias("c"))
-    return joined.unionAll(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"))
+        family = materialize(connected_components(rest, "hub", "id").withColumnRenamed("component", "family"))
+        size = materialize(family.groupBy("family").agg(F.count(F.lit(1)).alias("m")))
+        of_key = rest.join(family, "id").join(size, "family")
+        unit = F.when(F.col("m") <= FAMILY, F.concat(F.lit("f"), "family")).otherwise(F.concat(F.lit("k"), "key"))
+        units = of_key.groupBy(unit.alias("unit"), "id", "c").agg(F.collect_list("key").alias("keys"))  # as many as there are bands
+        more = materialize(settle(materialize(units).join(texts, "id"), k, percent))
+        found = materialize(connected_components(links.unionAll(more), "a", "b"))
+    of_class = materialize(classes.select("s1", "s2", F.col("id").alias("r")).join(found.withColumnRenamed("id", "r"), "r", "left").select("s1", "s2", F.coalesce("component", "r").alias("c")))
+    joined = live.select("id", "t", "n", "s1", "s2").join(of_class, ["s1", "s2"]).select("id", "t", "n", "c")
+    alone = sketches.filter("not (n > 0 and id is not null)").select("id", "t", "n", F.col("id").alias("c"))
+    if some:
+        alone = alone.unionAll(sketches.filter("n > 0").join(others, ["id", "t"], "left_semi").select("id", "t", "n", F.col("id").alias("c")))
+    out = joined.unionAll(alone)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"), F.col("t").alias("text_hash"))

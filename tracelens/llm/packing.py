@@ -26,8 +26,8 @@ WINDOW = 4096
 END_ID = 2
 #: Ids of a block whose checksum is kept, so that a piece can be cut without tokenising again.
 BLOCK = 64
-#: Salts that split the pieces of one length, however many there are.
-SALTS = 64
+#: Pieces of one length that are numbered together.
+GROUP = 50_000
 #: Signs that are tokens apart from the letters before them.
 SIGNS = ".,;:!?%&$#*"
 #: 1 for ASCII letters and digits, 2 for SIGNS.
@@ -75,17 +75,18 @@ class WordIds:
         """Ids of each text in UTF-8."""
         data = b" ".join(texts)
         starts, ends = word_pieces(data)
-        hashes = span_hashes(data, starts, ends, lower=True)
+        hashes, second = span_hashes(data, starts, ends, lower=True), span_hashes(data, starts, ends, lower=True, other=True)
         if b"<|" in data:  # special tokens heed the case
             opened = np.frombuffer(data, np.uint8)
             opened = np.concatenate([[0], np.cumsum((opened[:-1] == 60) & (opened[1:] == 124))])
             exact = opened[ends - 1] > opened[starts]
             hashes = np.where(exact, span_hashes(data, starts, ends) ^ np.uint64(1), hashes)
+            second = np.where(exact, span_hashes(data, starts, ends, other=True) ^ np.uint64(1), second)
         edges = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts]]))
         if not len(starts):
             return [np.empty(0, np.uint32)] * len(texts)
         words = lambda at: [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-        ids, stop = self.store.gather(hashes, lambda at: self.parts(words(at)))
+        ids, stop = self.store.gather(hashes, second, lambda at: self.parts(words(at)))
         stop = stop[edges].tolist()
         return [ids[a:b] for a, b in zip(stop, stop[1:])]
 
@@ -271,20 +272,29 @@ class Slots:
 
 def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per piece: the id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``."""
+    spark = df.sparkSession
     cut = materialize(pieces(df, tokenizer_path, id_col, text_col, window))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    sizes = np.zeros((window + 1, SALTS), np.int64)
-    for r in salted.groupBy("length", "salt").count().toLocalIterator():  # at most one row per length and salt
-        sizes[r["length"], r["salt"]] = r["count"]
-    slots = Slots(np.concatenate([sizes[:window].sum(1), [0]]), window)
-    before = np.cumsum(sizes, axis=1) - sizes
-    ordered = Window.partitionBy("length", "salt").orderBy("id", "start", "ids_crc32", "doc_tokens")
+    counts = np.zeros(window + 1, np.int64)
+    for r in cut.groupBy("length").count().collect():  # at most one row per length
+        counts[r["length"]] = r["count"]
+    slots = Slots(np.append(counts[:window], 0), window)
+    # pieces of a length are numbered in bounded groups, as many as it takes
+    salts = np.maximum(1, -(-counts // GROUP))
+    begin = np.cumsum(salts) - salts
+    groups = spark.createDataFrame([(n, int(salts[n]), int(begin[n])) for n in np.flatnonzero(counts).tolist()], "length bigint, salts int, begin bigint")
+    salted = cut.join(F.broadcast(groups), "length").withColumn("salt", (F.col("begin") + F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.col("salts"))).cast("int")).drop("salts", "begin")
+    sizes = np.zeros(int(salts.sum()), np.int64)
+    for r in salted.groupBy("salt").count().collect():  # one row per group
+        sizes[r["salt"]] = r["count"]
+    before = np.cumsum(sizes) - sizes
+    before -= np.repeat(before[begin], salts)
+    ordered = Window.partitionBy("salt").orderBy("id", "start", "ids_crc32", "doc_tokens")
     ranked = salted.withColumn("rank", F.row_number().over(ordered).cast("long") - 1)
 
     def place(batches):
         for batch in slices(batches, rows=4096):
             t = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in numbers}
-            rank = t["rank"] + before[t["length"], t["salt"]]
+            rank = t["rank"] + before[t["salt"]]
             sequence, offset, at = slots.find(t["length"], rank)
             yield from _rows(batch, np.flatnonzero(at < 0), [*(t[c] for c in numbers[:4]), sequence, offset])
             if len(cut_up := np.flatnonzero(at >= 0)):

@@ -8,7 +8,7 @@ g with one small matrix. Labelled negatives are never used.
 The class prior pi is estimated from positives and unlabelled documents alone. Without the non-negativity g ranks
 documents alike whatever pi is; above any of its values lie at least pi times as large a share of all documents as of
 the positives. The smallest such ratio, over values with many positives on both sides and on positives that g was not
-fitted to, is the estimate. The score is 0.5 where g is 0, that is where a document is as likely good as not.
+fitted to, each raised by two standard errors, is the estimate. The score is 0.5 where g is 0, that is where a document is as likely good as not.
 
 The fit takes at most ``sample`` labelled rows (the only bound); everything else covers every text whole. Nulls count as
 empty texts, which have the statistics of a text without words. Without four positives or without documents every
@@ -152,8 +152,11 @@ def estimated_prior(table: DataFrame, model: Model, fresh: np.ndarray) -> float:
     above = lambda c: 1 - (np.cumsum(c) - c) / c.sum()
     all_above, good_above = above(every), above(good)
     use = (1 - good_above >= BELOW[0]) & (1 - good_above <= BELOW[1])
-    ratio = (all_above[use] / good_above[use]).min() if use.any() else 0.5
-    return float(min(0.99, max(0.01, ratio)))
+    if not use.any():
+        return 0.5
+    share = good_above[use]
+    error = np.sqrt((1 - share) / (share * len(fresh)))  # so that accidents of few positives aren't the smallest
+    return float(min(0.99, max(0.01, (all_above[use] / share * (1 + 2 * error)).min())))
 
 
 def fit(table: DataFrame, documents: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text", ridge: float = 1e-2) -> Model | None:

@@ -20,6 +20,8 @@ from .common import bytes_of, slices
 
 SIGNS = b"#*$%&|<>"
 ENDS = tuple(x.encode() for x in (".", "!", "?", ":", ";", "\"", "'", ")", "]", "…", "”", "’", "»", "。", "！", "？"))
+#: What may stand around a phrase at a line's ends.
+EDGES = b" \t\r.,:;!?|*-()[]<>\"'"
 #: Fixed phrases of menus, notices and legal lines (lower case).
 BOILERPLATE = tuple(
     x.encode()
@@ -75,8 +77,9 @@ def line_fails(line: bytes, words: int, rules: Rules) -> str:
     if words >= rules.shout_words and line.isupper() and not any(c in line for c in b"0123456789"):
         return "shouting"
     if words <= rules.boilerplate_words:
-        low = line.lower()
-        if any(x in low for x in BOILERPLATE):
+        # a phrase that opens or ends the line, or is most of it; within a sentence it is prose
+        low = line.lower().strip(EDGES)
+        if any(x in low and (low.startswith(x) or low.endswith(x) or words <= 2 * len(x.split())) for x in BOILERPLATE):
             return "boilerplate"
     if words > rules.plain_words and not line.rstrip().endswith(ENDS) and not any(x in line for x in (b". ", b", ", b"? ", b"! ")):
         return "punctuation"

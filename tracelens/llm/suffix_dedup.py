@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import bytes_of, drop_materialized, materialize, slices, unused, wanted_rows
+from .common import bytes_of, drop_materialized, hashed, materialize, slices, unused, wanted_rows
 
 #: Words of the least passage and of a suffix's start. A window of LEAST - SEED + 1 starts has one suffix at least.
 LEAST, SEED = 50, 20
@@ -216,12 +216,6 @@ def repeated_passages(df: DataFrame, least: int = LEAST, seed: int = SEED, id_co
     )
 
 
-def hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, t, text): rows with a hash of their text; a null text counts as empty."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
-
-
 def without(df: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the stretches that aren't ``first`` cut out of ``text_col``; rows keep their other columns. Rows whose
     text isn't the one that was searched under their id stay whole."""

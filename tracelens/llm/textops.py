@@ -64,8 +64,8 @@ def word_hashes(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarra
     return starts, ends, span_hashes(data, starts, ends, lower)
 
 
-def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of spans that don't overlap and between which there is only white space.
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, lower: bool = False, other: bool = False) -> np.ndarray:
+    """64-bit hashes of spans that don't overlap and between which there is only white space; ``other`` gives independent ones.
 
     Long texts go through in pieces of about ``CHUNK`` bytes, cut between words, so that memory stays bounded.
     """
@@ -75,6 +75,7 @@ def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, lower: bool =
         return out
     codes = np.frombuffer(data, np.uint8)
     values = LOWER if lower else BYTES
+    values = mix(values ^ _u(BASE)) if other else values
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK, side="right")))
@@ -104,8 +105,8 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
 class Store:
     """Ids of hashed pieces of text, cached: sorted hashes with slots that point into one array of ids.
 
-    Only the distinct pieces of a batch are looked up. Beyond ``limit`` pieces it is emptied. Two of a million cached
-    pieces share a 64-bit hash with a chance of 3e-8.
+    Only the distinct pieces of a batch are looked up. Beyond ``limit`` pieces it is emptied. Each occurrence is checked by
+    a second, independent hash; where that differs, the batch's pieces are all made anew and none is looked up.
     """
 
     def __init__(self, limit: int):
@@ -115,21 +116,24 @@ class Store:
     def clear(self) -> None:
         self.keys, self.slot = np.empty(0, _u), np.empty(0, np.int64)
         self.ids, self.bound, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+        self.second = np.empty(1 << 14, _u)
 
-    def _learn(self, at: np.ndarray, hashes: np.ndarray, parts: list) -> None:
+    def _learn(self, at: np.ndarray, hashes: np.ndarray, second: np.ndarray, parts: list) -> None:
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         n, m, total = len(self.keys), len(parts), int(sizes.sum())
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * total, np.uint32)])
         if n + m + 1 > len(self.bound):
             self.bound = np.concatenate([self.bound[: n + 1], np.zeros(n + 2 * m + 1, np.int64)])
+            self.second = np.concatenate([self.second[:n], np.empty(len(self.bound) - n, _u)])
         self.ids[self.used : self.used + total] = np.concatenate(parts)
         self.bound[n + 1 : n + 1 + m] = self.used + np.cumsum(sizes)
+        self.second[n : n + m] = second
         self.used += total
         self.keys = np.insert(self.keys, at, hashes)
         self.slot = np.insert(self.slot, at, np.arange(n, n + m))
 
-    def gather(self, hashes: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
+    def gather(self, hashes: np.ndarray, second: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
         """All pieces' ids in a row, and the bounds of each piece in them. ``make``: from places of new pieces to their ids."""
         distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(distinct) > self.limit:
@@ -137,9 +141,12 @@ class Store:
         at = np.searchsorted(self.keys, distinct)
         new = np.flatnonzero((at == len(self.keys)) | (np.append(self.keys, _u(0))[at] != distinct))
         if len(new):
-            self._learn(at[new], distinct[new], make(first[new]))
+            self._learn(at[new], distinct[new], second[first[new]], make(first[new]))
             at = np.searchsorted(self.keys, distinct)
         slot = self.slot[at]
+        if not np.array_equal(self.second[slot][place], second):
+            parts = make(np.arange(len(hashes)))
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         begin, size = self.bound[slot][place], (self.bound[slot + 1] - self.bound[slot])[place]
         stop = np.cumsum(size)
         ids = self.ids[np.repeat(begin - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import labelled
+from . import labelled, textops
 from .common import bytes_of, slices
 from .textops import word_spans
 
@@ -42,6 +42,8 @@ AGAINST, FOR = 2_000_000, 400_000
 BASE, OWN, ALARMS, FREQUENT = 200_000, 4_000, 30_000, 8_000
 #: Share of a class's windows that its own part is trained on, bytes of a trained segment, rounds of false alarms.
 PROFIT, SEGMENT, ROUNDS = 0.03, 12, 3
+#: Words of a stretch that makes two texts copies of each other there.
+COPIED = 10
 #: Distances in bytes, of two successive windows, that are counted.
 DISTANCES = (2, 3, 4, 6, 8, 12)
 #: Windows compressed in one call.
@@ -142,10 +144,16 @@ def trained(samples: list[bytes], size: int, segment: int, alike: int = 6) -> by
 
 
 def apart(texts: list[bytes], parts: list[np.ndarray]) -> list[np.ndarray]:
-    """For each text which of its windows occur in no other text."""
-    hashes = [np.array([hash(t[a : a + n]) for a, n in p.tolist()], np.int64) for t, p in zip(texts, parts)]
-    value, count = np.unique(np.concatenate([np.unique(h) for h in hashes]), return_counts=True)
-    return [count[np.searchsorted(value, h)] == 1 for h in hashes]
+    """For each text which of its windows lie in no stretch of words that another text has too."""
+    hashes = [textops.word_hashes(t)[2] for t in texts]
+    runs = [textops.windows(h, min(COPIED, len(h))) if len(h) else h for h in hashes]
+    value, count = np.unique(np.concatenate([np.unique(r) for r in runs]), return_counts=True)
+    out = []
+    for r, p in zip(runs, parts):
+        copied = np.concatenate([[0], np.cumsum(count[np.searchsorted(value, r)] > 1)])
+        at = np.arange(len(p))  # a window lies in the stretches that begin before it and end after it
+        out.append(copied[np.minimum(at + 1, len(r))] == copied[np.clip(at + WORDS - COPIED, 0, len(r))])
+    return out
 
 
 def own_part(halves: list[list[int]], others: list[int], texts: list[bytes], parts: list[np.ndarray], single: list[np.ndarray]) -> bytes:
