@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +16,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of smallest id, of each group of near-duplicates (five words, similarity of 0.8 or more); rows without an id stay."""
-    found = minhash.near_duplicates(docs, k=5, percent=80)
-    kept = found.filter("kept and doc_id is not null").select("doc_id").distinct()
-    # repeated rows of an id are copies of each other: one stays
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document, the one of smallest id, of each group of near-duplicates (five words, similarity of 0.8 or more). Rows
+    without an id stay, and so do rows that repeat a kept id with another text; of rows equal in id and text one stays."""
+    kept = minhash.near_duplicates(docs, k=5, percent=80).filter("kept and doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    kept = materialize(kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "rows"))
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
+    known = docs.join(kept.drop("rows"), same, "left_semi")
+    if kept.filter("rows > 1").limit(1).count():
+        known = known.dropDuplicates(["doc_id", "text"])
     return known.select(*docs.columns).unionAll(docs.filter("doc_id is null"))
 
 
@@ -39,6 +41,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens."""
+    import public_tokenizers
+
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -11,10 +11,11 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     s = (
         SparkSession.builder.master("local[4]").config("spark.driver.memory", "4g").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.default.parallelism", "4").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.default.parallelism", "4").config("spark.checkpoint.dir", f"file://{shared}").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
