@@ -6,9 +6,10 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import joined_lines, neighbours_of
 from ..sources import extract, files, profile
 from . import compare, events, index, locate, parse, quality, rules
 
@@ -80,12 +81,11 @@ def sequence_from(lined: DataFrame) -> list[str]:
 
 def source_excerpts(spark: SparkSession, root: str, candidates: DataFrame, reach: int = 3) -> DataFrame:
     """(file, line, excerpt): numbered source lines around each candidate's line, each file read once."""
-    src = files.source_files(spark, root).select("file", F.decode("content", "utf-8").alias("text"))
-    lines = files.log_lines_of(src, "file", "text")
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(-reach, reach)
-    numbered = lines.withColumn("x", F.concat(F.col("line_no").cast("string"), F.lit(": "), "line"))
-    wide = numbered.withColumn("excerpt", F.array_join(F.collect_list("x").over(w), "\n")).select("file", F.col("line_no").alias("line"), "excerpt")
-    return candidates.select("file", "line").distinct().join(wide, ["file", "line"], "left")
+    wanted = candidates.select("file", F.col("line").alias("line_no")).distinct()
+    src = files.source_files(spark, root).join(wanted.select("file").distinct(), "file", "left_semi").select("file", F.decode("content", "utf-8").alias("text"))
+    near = neighbours_of(files.log_lines_of(src, "file", "text"), wanted, reach)
+    numbered = F.concat(F.col("line_no").cast("string"), F.lit(": "), "line")
+    return wanted.withColumnRenamed("line_no", "line").join(joined_lines(near, ["file", "at"], numbered, "excerpt").withColumnRenamed("at", "line"), ["file", "line"], "left")
 
 
 def doctor(spark: SparkSession, project: str, tables: dict[str, DataFrame] | None, manual: dict) -> dict:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import ranked, reused
 from .events import duration_stats
 
 
 def shared(a: Column, b: Column) -> Column:
     """Items of ``a`` that ``b`` has, repeats and order kept."""
-    return F.filter(a, lambda x: F.array_contains(b, x))
+    known = F.array_intersect(a, b)  # each label once, however long the lists are
+    return F.filter(a, lambda x: F.array_contains(known, x))
 
 
 def lacking(a: Column, b: Column) -> Column:
     """Items of ``a`` that ``b`` lacks, repeats and order kept."""
-    return F.filter(a, lambda x: ~F.array_contains(b, x))
+    missing = F.array_except(a, b)
+    return F.filter(a, lambda x: F.array_contains(missing, x))
 
 
 def run_labels(lines: DataFrame) -> Column:
@@ -35,12 +38,11 @@ def compare_sessions(baseline: DataFrame, target: DataFrame) -> DataFrame:
     """Sessions of both runs: paired by id, else by rank, else alone; with what each pair misses and has besides.
 
     A target may be paired by rank although its own id has a partner. Rank: events descending, then id."""
-    w = Window.orderBy(F.desc("event_count"), "session_id")
-    b = baseline.select(F.col("session_id").alias("b_id"), F.col("labels").alias("b_labels"), F.row_number().over(w).alias("rank"))
-    t = target.select(F.col("session_id").alias("t_id"), F.col("labels").alias("t_labels"), F.row_number().over(w).alias("t_rank"))
+    b = ranked(reused(baseline), "rank", "event_count", "session_id").select(F.col("session_id").alias("b_id"), F.col("labels").alias("b_labels"), "rank")
+    t = reused(ranked(reused(target), "t_rank", "event_count", "session_id").select(F.col("session_id").alias("t_id"), F.col("labels").alias("t_labels"), "t_rank"))
     by_id = b.join(t.select("t_id", "t_labels"), b["b_id"] == t["t_id"], "left")
     by_rank = t.select(F.col("t_rank").alias("rank"), F.col("t_id").alias("r_id"), F.col("t_labels").alias("r_labels"))
-    paired = by_id.join(by_rank, "rank", "left").select("rank", "b_id", "b_labels", F.coalesce("t_id", "r_id").alias("t_id"), F.coalesce("t_labels", "r_labels").alias("t_labels"))
+    paired = reused(by_id.join(by_rank, "rank", "left")).select("rank", "b_id", "b_labels", F.coalesce("t_id", "r_id").alias("t_id"), F.coalesce("t_labels", "r_labels").alias("t_labels"))
     rest = t.join(paired.select("t_id"), "t_id", "left_anti").select((F.col("t_rank") + 1_000_000_000).alias("rank"), F.lit("").alias("b_id"), F.array().cast("array<string>").alias("b_labels"), "t_id", "t_labels")
     both = paired.unionAll(rest)
     none = F.array().cast("array<string>")

@@ -100,14 +100,16 @@ def timelines(ev: DataFrame) -> DataFrame:
     """One row per session: key, events, counts by type, and labels in order of lines. Events without a session form one
     timeline of their own, but only where no session exists at all."""
     any_session = ev.select(F.coalesce(F.max(F.col("session_id") != ""), F.lit(False)).alias("any_session"))
-    keyed = ev.withColumn("sid", F.when(F.col("session_id") == "", F.lit("__global__")).otherwise(F.col("session_id")))
-    per_type = keyed.groupBy("sid", "type").agg(F.count(F.lit(1)).alias("n")).groupBy("sid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("event_types"))
-    ordered = keyed.groupBy("sid").agg(
-        F.min_by("session_key", "line").alias("session_key"), F.count(F.lit(1)).alias("event_count"), F.min("line").alias("first_line"),
-        F.transform(F.array_sort(F.collect_list(F.struct("line", "label"))), lambda x: x["label"]).alias("labels"),
+    keyed = ev.crossJoin(F.broadcast(any_session)).filter("session_id <> '' or not any_session")  # one row
+    keyed = keyed.select(F.when(F.col("session_id") == "", F.lit("__global__")).otherwise(F.col("session_id")).alias("session_id"), "line", "session_key", "type", "label")
+    ordered = keyed.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("line", "session_key", "type", "label"))).alias("rows"))
+    types = F.transform("rows", lambda x: x["type"])
+    counts = F.transform(F.array_sort(F.array_distinct(types)), lambda t: F.struct(t.alias("type"), F.size(F.filter(types, lambda x: x == t)).cast("bigint").alias("n")))
+    first = F.col("rows")[0]
+    return ordered.select(
+        "session_id", first["session_key"].alias("session_key"), F.size("rows").cast("bigint").alias("event_count"), F.map_from_entries(counts).alias("event_types"),
+        F.transform("rows", lambda x: x["label"]).alias("labels"), first["line"].alias("first_line"),
     )
-    out = ordered.join(per_type, "sid").crossJoin(F.broadcast(any_session)).filter("sid <> '__global__' or not any_session")  # one row
-    return out.select(F.col("sid").alias("session_id"), "session_key", "event_count", "event_types", "labels", "first_line")
 
 
 def missing_of(labels: Column, expected: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import canonical, file_name, is_generic, keywords, matching_ratio, message_keywords, normalize, quick_similarity, same_file
+from ..functions.frames import reused
+from ..functions.text import canonical, file_name, is_generic, keywords, matching_ratio, message_keywords, normalize, quick_similarity, same_file, settled
 
 EVIDENCE = ["entry_id", "function_id", "score", "reason", "line", "log_site_id", "stage", "ord"]
 
@@ -66,16 +67,17 @@ def candidate_pairs(messages: DataFrame, sites: DataFrame) -> DataFrame:
 
 def templated(entries: DataFrame, sites: DataFrame, functions: DataFrame) -> DataFrame:
     """Logger templates that a message fits, exactly or nearly. Equal messages are matched once."""
-    s = sites_with_keywords(sites, functions)
-    e = entries.select("entry_id", F.when(F.col("message") != "", F.col("message")).otherwise(F.col("raw")).alias("msg"), "level", "logger").withColumn("norm", normalize(F.col("msg")))
-    e = e.withColumn("msg_id", F.xxhash64("msg"))
-    distinct = e.select("msg_id", "msg", "norm").dropDuplicates(["msg_id"])
-    pairs = candidate_pairs(distinct, s).join(distinct, "msg_id").join(s.select("site_id", "template", "regex"), "site_id")
-    pairs = pairs.withColumn("hit", (F.col("regex") != "") & F.expr("norm rlike regex"))
+    s = reused(settled(sites_with_keywords(sites, functions).withColumn("a", canonical(F.col("template")))))
+    e = entries.select("entry_id", F.when(F.col("message") != "", F.col("message")).otherwise(F.col("raw")).alias("msg"), "level", "logger").withColumn("msg_id", F.md5("msg"))
+    distinct = settled(e.select("msg_id", "msg").dropDuplicates(["msg_id"]).withColumn("norm", normalize(F.col("msg"))))
+    distinct = reused(settled(distinct.withColumn("b", canonical(F.col("norm")))))
+    pairs = candidate_pairs(distinct, s).join(distinct, "msg_id").join(s.select("site_id", "template", "regex", "a"), "site_id")
+    pairs = reused(settled(pairs.withColumn("hit", (F.col("regex") != "") & F.expr("norm rlike regex"))))
     exact = pairs.filter("hit").select("msg_id", "site_id", F.lit(None).cast("double").alias("sim"))
     la, lb = F.length("msg"), F.length("template")
     near = pairs.filter("not hit").filter((la > 15) & (lb > 15) & (F.abs(la - lb) < F.greatest(la, lb) * 0.5))
-    near = near.withColumn("a", canonical(F.col("template"))).withColumn("b", canonical(F.col("norm"))).withColumn("q", F.when(F.col("norm") == F.col("template"), F.lit(1.0)).otherwise(quick_similarity(F.col("a"), F.col("b"))))
+    near = near.withColumn("q", F.when(F.col("norm") == F.col("template"), F.lit(1.0)).otherwise(quick_similarity(F.col("a"), F.col("b"))))
+    near = settled(near)
     decided = near.filter("q is not null").select("msg_id", "site_id", F.col("q").alias("sim"))
     slow = near.filter("q is null").select("msg_id", "site_id", matching_ratio("a", "b").alias("sim"))
     fuzzy = decided.unionAll(slow).filter(F.col("sim") >= P.FUZZY_LEAST)
@@ -136,8 +138,10 @@ def top_candidates(scored: DataFrame, top: int) -> DataFrame:
 
 def locate(entries: DataFrame, index: dict[str, DataFrame], top: int = 3) -> DataFrame:
     """Ranked candidates of each entry: rank, score, function, file, line, reasons, site, callers and callees."""
-    functions, edges, sites = index["functions"], index["call_edges"], index["log_sites"]
+    functions, edges, sites = reused(index["functions"]), reused(index["call_edges"]), index["log_sites"]
+    entries = reused(entries)
     ev = structured(entries, functions).unionAll(framed(entries, functions)).unionAll(templated(entries, sites, functions)).unionAll(mentioned(entries, functions))
+    ev = reused(ev)
     ev = ev.unionAll(neighbours(entries, ev, functions, edges))
     scored = summed(ev).join(functions.select(F.col("id").alias("function_id"), F.col("qualname").alias("function"), "file", "start_line"), "function_id")
     scored = scored.withColumn("line", F.coalesce("site.line", "any_line", "start_line")).withColumn("log_site_id", F.col("site.log_site_id"))

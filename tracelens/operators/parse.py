@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from ..functions import patterns as P
+from ..functions.frames import numbered_by
 from ..functions.text import settled, text_or_empty
 
 
-def up_to(last: int) -> WindowSpec:
-    """Lines of a file from its first to the one ``last`` places after the current."""
-    return Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, last)
-
-
 def joined(rows: Column) -> Column:
     """Lines of collected (line_no, line) pairs in order, joined by line feeds."""
     return F.array_join(F.transform(F.array_sort(rows), lambda r: r["line"]), "\n")
@@ -24,9 +19,9 @@ def blocks(lines: DataFrame) -> DataFrame:
     """(file, line_no, raw): entries of one or more lines. An exception line opens a stretch that keeps all lines up to the
     next exception line; outside of it, a line that looks like an entry's beginning starts a new block."""
     marked = lines.select("file", "line_no", "line", F.col("line").rlike(P.EXCEPTION_LINE).cast("int").alias("e"), F.col("line").rlike(P.ENTRY_START).alias("s"))
-    inside = F.coalesce(F.sum("e").over(up_to(-1)), F.lit(0)) % 2
-    starts = (F.col("s") & (F.col("e") == 0) & (inside == 0)).cast("int")
-    numbered = marked.withColumn("starts", starts).withColumn("block", F.sum("starts").over(up_to(0)))
+    counted = numbered_by(marked, "so_far", "e")
+    starts = (F.col("s") & (F.col("e") == 0) & (F.col("so_far") % 2 == 0)).cast("int")
+    numbered = numbered_by(counted.withColumn("starts", starts), "block", "starts")
     out = numbered.groupBy("file", "block").agg(F.min("line_no").alias("line_no"), joined(F.collect_list(F.struct("line_no", "line"))).alias("raw"))
     return out.filter(F.trim("raw") != "").select("file", "line_no", "raw")
 
@@ -34,7 +29,8 @@ def blocks(lines: DataFrame) -> DataFrame:
 def logical_entries(lines: DataFrame, identifiers: list[str] | None = None, app_only: bool = False) -> DataFrame:
     """(file, line_no, raw): under a logcat table's header lines are one entry each header; before the first, each line is one.
     ``app_only`` keeps entries of the named packages, or that mention an identifier."""
-    marked = lines.withColumn("head", F.col("line").rlike(P.TABLE_HEADER)).withColumn("grp", F.sum(F.col("head").cast("int")).over(up_to(0)))
+    marked = lines.withColumn("head", F.col("line").rlike(P.TABLE_HEADER)).withColumn("heads", F.col("head").cast("int"))
+    marked = numbered_by(marked, "grp", "heads")
     unit = F.when(F.col("grp") == 0, F.concat(F.lit("l"), F.col("line_no").cast("string"))).otherwise(F.concat(F.lit("g"), F.col("grp").cast("string")))
     out = marked.groupBy("file", unit.alias("u")).agg(F.min("line_no").alias("line_no"), F.min_by("line", "line_no").alias("first"), F.max("head").alias("head"), joined(F.collect_list(F.struct("line_no", "line"))).alias("raw"))
     if app_only and identifiers:
@@ -50,21 +46,25 @@ def truthy(fields: Column, *names: str) -> Column:
     return F.coalesce(*[F.when(~v.isin(falsy), v) for v in values])
 
 
-def plain_format(line: Column) -> Column:
-    """Name of the first format that a line has, or an empty string."""
+#: Stands between the captured fields of a line; a private-use character, which logs don't hold.
+BETWEEN = "\ue0f1"
+
+
+def plain_match(line: Column) -> Column:
+    """Name of the first format that a line has, and its captured fields, as one array; the name is empty if it has none."""
     out = F
-    for name, pattern, _ in P.FORMATS:
-        out = out.when(line.rlike(pattern), F.lit(name))
-    return out.otherwise(F.lit(""))
+    for name, pattern, groups in P.FORMATS:
+        captured = F.regexp_replace(line, pattern + "(?s:.*)", BETWEEN.join([name, *(f"${i + 1}" for i in range(len(groups)))]))
+        out = out.when(line.rlike(pattern), F.split(captured, BETWEEN, -1))
+    return out.otherwise(F.array(F.lit("")))
 
 
-def plain_field(line: Column, fmt: Column, field: str) -> Column:
-    """A captured field of a line whose format is known; empty if the format has none."""
+def plain_field(match: Column, field: str) -> Column:
+    """A captured field of a match; empty if its format has none."""
     out = None
-    for name, pattern, groups in P.FORMATS:
+    for name, _, groups in P.FORMATS:
         if field in groups:
-            value = F.regexp_extract(line, pattern, groups.index(field) + 1)
-            out = (F if out is None else out).when(fmt == name, value)
+            out = (F if out is None else out).when(match[0] == name, match[groups.index(field) + 1])
     return out.otherwise(F.lit(""))
 
 
@@ -103,11 +103,11 @@ def entries(raw_rows: DataFrame) -> DataFrame:
     first = F.element_at(F.split("raw", r"\r\n|\n|\r"), 1)
     df = raw_rows.withColumn("first", first)
     df = df.withColumn("json", F.when(F.trim("first").rlike(r"^\{.*\}$"), F.from_json("first", "map<string,string>")))
-    df = df.withColumn("fmt", F.when(F.col("json").isNotNull(), F.lit("json")).otherwise(plain_format(F.col("first"))))
-    df = settled(df)
+    df = df.withColumn("match", F.when(F.col("json").isNotNull(), F.array(F.lit("json"))).otherwise(plain_match(F.col("first"))))
+    df = settled(df).withColumn("fmt", F.col("match")[0])
     line, fmt, j = F.col("first"), F.col("fmt"), F.col("json")
     pick = lambda names, plain: F.when(fmt == "json", F.coalesce(truthy(j, *names), F.lit(""))).otherwise(plain)
-    plain = {f: plain_field(line, fmt, f) for f in ("ts", "level", "logger", "msg", "pid", "tid", "thread", "package")}
+    plain = {f: plain_field(F.col("match"), f) for f in ("ts", "level", "logger", "msg", "pid", "tid", "thread", "package")}
     df = df.withColumns(
         {
             "message": pick(("message", "msg", "event"), F.when(fmt == "", line).otherwise(F.trim(plain["msg"]))),
@@ -121,8 +121,8 @@ def entries(raw_rows: DataFrame) -> DataFrame:
             "fields": F.when(fmt == "json", j).when(
                 ~fmt.isin("", "syslog"), F.map_filter(F.create_map(*[x for k in ("ts", "pid", "tid", "thread", "package", "logger", "level", "msg") for x in (F.lit(k), plain[k])]), lambda k, v: v != "")
             ),
-            "stack_frames": frames(F.col("raw")),
-            "error": error_line(F.col("raw")),
+            "stack_frames": F.when(F.contains("raw", F.lit('File "')), frames(F.col("raw"))).otherwise(F.array().cast("array<struct<file:string,line:int,function:string,source:string>>")),
+            "error": F.when(F.contains("raw", F.lit('File "')), error_line(F.col("raw"))),
         }
     )
     df = settled(df.withColumn("level", F.upper("level")))
@@ -132,4 +132,4 @@ def entries(raw_rows: DataFrame) -> DataFrame:
     said = F.when(said == "", F.col("error")).otherwise(said)
     df = df.withColumn("exception_type", F.when(traced, F.regexp_extract("error", P.PYTHON_ERROR, 1)).otherwise(F.lit("")))
     df = df.withColumn("message", F.when(traced & ((F.col("message") == "") | (F.col("message") == F.col("first"))), said).otherwise(text_or_empty("message")))
-    return settled(df.drop("first", "json", "error"))
+    return settled(df.drop("first", "json", "match", "error"))

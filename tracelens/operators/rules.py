@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.frames import joined_lines, neighbours_of
 from ..functions.text import shorten
 
 #: Words that carry no query by themselves are shorter than two characters.
@@ -88,9 +89,20 @@ def query_focus(found: DataFrame, terms: list[str]) -> DataFrame:
 
 def context_windows(lines: DataFrame, around: DataFrame, reach: int) -> DataFrame:
     """(file, line_no, context): the lines up to ``reach`` before and after each line of ``around``."""
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(-reach, reach)
-    wide = lines.withColumn("context", F.array_join(F.transform(F.collect_list(F.struct("line_no", "line")).over(w), lambda x: x["line"]), "\n"))
-    return wide.join(around.select("file", "line_no").distinct(), ["file", "line_no"]).select("file", "line_no", "context")
+    return joined_lines(neighbours_of(lines, around, reach), ["file", "at"], "line", "context").withColumnRenamed("at", "line_no")
+
+
+def context_set(lines: DataFrame, suspicious: DataFrame, matches: DataFrame, reach: int, most: int = 10) -> DataFrame:
+    """(ord, file, line_no, context): contexts of the first suspicious events, then of the first matches, each line once."""
+    first = lambda df, n: df.select("file", "line_no").distinct().orderBy("file", "line_no").limit(most).withColumn("ord", F.lit(n))
+    chosen = first(suspicious, 0).unionAll(first(matches, 1)).groupBy("file", "line_no").agg(F.min("ord").alias("ord"))
+    return context_windows(lines, chosen, reach).join(chosen, ["file", "line_no"]).select("ord", "file", "line_no", "context")
+
+
+def best_detail(raw: Column) -> Column:
+    """The last line of an entry that is neither blank nor a box border, trimmed of the box; empty if there is none."""
+    said = F.filter(F.transform(F.split(raw, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*[│|]", ""))), lambda x: (x != "") & ~x.rlike("^[┌└├─]"))
+    return F.coalesce(F.try_element_at(said, F.lit(-1)), F.lit(""))
 
 
 def top_sources(found: DataFrame, limit: int = 5) -> DataFrame:

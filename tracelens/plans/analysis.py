@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import reused
 from ..operators import compare as C
 from ..operators import events as E
 from . import rendered as R
@@ -14,7 +15,7 @@ EXPECTED = {"flow": ["state", "duration", "retry", "state", "timeout", "duration
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    return E.events(parsed(spark, d))
+    return reused(E.events(parsed(spark, d)))
 
 
 def event_types(spark: SparkSession, d: str) -> DataFrame:
@@ -124,15 +125,20 @@ runs as (select *, case when line_no <= h then 'b' else 't' end as side, case wh
 tl as (select side, session_id, count(*) as n, list(type order by line_no) as labels from runs group by all)"""
 
 
+def renamed(ev: DataFrame, label: str, new: str) -> DataFrame:
+    """Events with another name for one label, so that two runs differ."""
+    return ev.withColumn("label", F.when(F.col("label") == label, F.lit(new)).otherwise(F.col("label")))
+
+
 def compare_labels(spark: SparkSession, d: str) -> DataFrame:
     b, t = split_runs(spark, d)
-    out = C.compare_labels(E.timelines(b.filter("type <> 'timeout'")), E.timelines(t.filter("type <> 'retry'")))
+    out = C.compare_labels(E.timelines(renamed(b, "timeout", "lapse")), E.timelines(renamed(t, "retry", "again")))
     digest = lambda c: F.md5(F.array_join(c, ">").cast("binary"))
     return out.select(digest("shared").alias("shared"), digest("missing").alias("missing"), digest("extra").alias("extra"), F.size("missing").cast("bigint").alias("n_missing"))
 
 
-COMPARE_LABELS_SQL = f"""with {RUNS_SQL}, kept as (select * from runs where not (side = 'b' and type = 'timeout') and not (side = 't' and type = 'retry')),
-k as (select side, session_id, count(*) as n, list(type order by line_no) as labels from kept group by all),
+COMPARE_LABELS_SQL = f"""with {RUNS_SQL}, kept as (select *, case when side = 'b' and type = 'timeout' then 'lapse' when side = 't' and type = 'retry' then 'again' else type end as label from runs),
+k as (select side, session_id, count(*) as n, list(label order by line_no) as labels from kept group by side, session_id),
 f as (select flatten(list(labels order by n desc, session_id) filter (side = 'b')) as b, flatten(list(labels order by n desc, session_id) filter (side = 't')) as t from k)
 select md5(array_to_string(list_filter(b, lambda x: list_contains(t, x)), '>')) as shared, md5(array_to_string(list_filter(b, lambda x: not list_contains(t, x)), '>')) as missing,
   md5(array_to_string(list_filter(t, lambda x: not list_contains(b, x)), '>')) as extra, len(list_filter(b, lambda x: not list_contains(t, x))) as n_missing from f"""
@@ -140,13 +146,15 @@ select md5(array_to_string(list_filter(b, lambda x: list_contains(t, x)), '>'))
 
 def compare_sessions(spark: SparkSession, d: str) -> DataFrame:
     b, t = split_runs(spark, d)
-    out = C.compare_sessions(E.timelines(b), E.timelines(t.filter("session_id not like '%7'")))
+    moved = t.withColumn("session_id", F.when(F.col("session_id").endswith("7"), F.concat("session_id", F.lit("x"))).otherwise(F.col("session_id")))
+    out = C.compare_sessions(E.timelines(b), E.timelines(moved))
     flat = lambda c: F.array_join(c, ">")
     return out.select("baseline_session", "target_session", flat("missing").alias("missing"), flat("extra").alias("extra"), F.size("shared").cast("bigint").alias("n_shared"))
 
 
 COMPARE_SESSIONS_SQL = f"""with {RUNS_SQL}, b as (select session_id, labels, row_number() over (order by n desc, session_id) as r from tl where side = 'b'),
-t as (select session_id, labels, row_number() over (order by n desc, session_id) as r from tl where side = 't' and session_id not like '%7'),
+moved as (select case when session_id like '%7' then session_id || 'x' else session_id end as session_id, n, labels from tl where side = 't'),
+t as (select session_id, labels, row_number() over (order by n desc, session_id) as r from moved),
 p as (select b.session_id as bs, b.labels as bl, coalesce(i.session_id, k.session_id, '') as ts, coalesce(i.labels, k.labels, []) as tl from b left join t i on i.session_id = b.session_id left join t k on k.r = b.r),
 a as (select * from p union all select '', [], t.session_id, t.labels from t where t.session_id not in (select ts from p))
 select bs as baseline_session, ts as target_session, array_to_string(list_filter(bl, lambda x: not list_contains(tl, x)), '>') as missing, array_to_string(list_filter(tl, lambda x: not list_contains(bl, x)), '>') as extra,

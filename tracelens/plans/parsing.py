@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize
+from ..functions.frames import carried, numbered_by
+from ..functions.text import normalize, text_or_empty
 from ..operators import parse
 from ..sources.files import log_lines_of
 from . import rendered as R
@@ -107,27 +108,23 @@ TRACEBACK_SQL = TRACEBACK_SQL.replace("'Traceback (most recent call last):' as m
 
 
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet").filter("lang = 'en'")
-    return docs.select("doc_id", F.md5(normalize("text").cast("binary")).alias("digest"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(normalize("text").cast("binary")).alias("digest"))
 
 
-NORMALIZE_SQL = r"select doc_id, md5(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) as digest from documents where lang = 'en'"
+#: White space as Unicode has it.
+NORMALIZE_SQL = r"select doc_id, md5(trim(regexp_replace(coalesce(text, ''), '[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) as digest from documents"
 
 
 def carry_forward_scope(spark: SparkSession, d: str) -> DataFrame:
     """The last line before each that begins a sentence with The, and a running count of commas, over the lines of documents."""
-    from pyspark.sql import Window
-
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    lines = log_lines_of(docs.filter("text is not null"), "doc_id", "text")
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    scope = F.last(F.when(F.col("line").startswith("The "), F.col("line_no")), ignorenulls=True).over(w)
-    depth = F.sum(F.length("line") - F.length(F.replace("line", F.lit(","), F.lit("")))).over(w)
-    marked = lines.withColumn("scope", scope).withColumn("depth", depth)
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("text", text_or_empty("text"))
+    lines = log_lines_of(docs, "doc_id", "text").withColumn("commas", F.length("line") - F.length(F.replace("line", F.lit(","), F.lit(""))))
+    lines = lines.withColumn("begins", F.when(F.col("line").startswith("The "), F.col("line_no"))).drop("line")
+    marked = numbered_by(carried(lines, "scope", "begins"), "depth", "commas")
     return marked.groupBy(F.col("file").cast("bigint").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("scope").cast("bigint").alias("scopes"), F.sum("depth").cast("bigint").alias("depths"))
 
 
-CARRY_SQL = r"""with l as (select doc_id, unnest(string_split_regex(text, '\r\n|\n|\r')) as line, generate_subscripts(string_split_regex(text, '\r\n|\n|\r'), 1) as line_no from documents where text is not null),
+CARRY_SQL = r"""with l as (select doc_id, unnest(string_split_regex(coalesce(text, ''), '\r\n|\n|\r')) as line, generate_subscripts(string_split_regex(coalesce(text, ''), '\r\n|\n|\r'), 1) as line_no from documents),
 m as (select doc_id, last_value(case when starts_with(line, 'The ') then line_no end ignore nulls) over w as scope, sum(length(line) - length(replace(line, ',', ''))) over w as depth
   from l window w as (partition by doc_id order by line_no rows between unbounded preceding and current row))
 select doc_id, count(*) as n, cast(sum(scope) as bigint) as scopes, cast(sum(depth) as bigint) as depths from m group by doc_id"""

@@ -11,8 +11,8 @@ from ..operators import locate as L
 from ..operators import quality as Q
 from ..operators import rules
 from . import rendered as R
-from .analysis import RUNS_SQL, events, split_runs
-from .evidence import entries
+from .analysis import RUNS_SQL, events, renamed, split_runs
+from .evidence import TOTAL_SQL, entries
 
 
 def context_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -40,30 +40,32 @@ union all select case when state <> '' then state else type end, 'Long-running s
 
 def compare_hypotheses(spark: SparkSession, d: str) -> DataFrame:
     b, t = split_runs(spark, d)
-    b, t = b.filter("line <= 900"), t.filter("label <> 'retry'")
+    t = renamed(t, "retry", "again")
     sessions = C.compare_sessions(E.timelines(b), E.timelines(t))
     own = rules.hypotheses(t, E.missing_events(E.timelines(t), {"flow": ["nothing"]}), E.duration_stats(t))
     return rules.compare_hypotheses(sessions, C.duration_anomalies(b, t), own).select("label", "title", "confidence")
 
 
-COMPARE_SQL = f"""with {RUNS_SQL}, r2 as (select * from runs where (side = 'b' and line_no <= 900) or (side = 't' and type <> 'retry')),
-t2 as (select side, session_id, count(*) as n, list(type order by line_no) as labels from r2 group by all),
+COMPARE_SQL = f"""with {RUNS_SQL}, r2 as (select *, case when side = 't' and type = 'retry' then 'again' else type end as label from runs),
+t2 as (select side, session_id, count(*) as n, list(label order by line_no) as labels from r2 group by side, session_id),
 b as (select session_id, labels, row_number() over (order by n desc, session_id) as r from t2 where side = 'b'), t as (select session_id, labels, row_number() over (order by n desc, session_id) as r from t2 where side = 't'),
 p as (select b.r, b.labels as bl, coalesce(i.session_id, k.session_id, '') as ts, coalesce(i.labels, k.labels, []) as tl from b left join t i on i.session_id = b.session_id left join t k on k.r = b.r),
 f as (select ts from p where len(list_filter(bl, lambda x: not list_contains(tl, x))) > 0 and list_contains(tl, 'timeout') order by r limit 1),
-s as (select side, case when state <> '' then state else type end as label, avg(run_ms) as a, max(run_ms) as m from r2 group by all),
+s as (select side, case when state <> '' then state else label end as label, avg(run_ms) as a, max(run_ms) as m from r2 group by 1, 2),
 a as (select t.label from s t join s b on t.label = b.label and t.side = 't' and b.side = 'b' where t.a / b.a >= 2 and t.a - b.a >= 500 order by t.a / b.a desc limit 1),
-h as (select label from s where side = 't' and m >= 10000 order by label limit 3)
-select ts as label, 'Target session lacks baseline events and times out' as title, 0.84::double as confidence from f union all select label, 'Duration regression', 0.78 from a union all select label, 'Long-running stage', 0.62 from h"""
+h as (select * from (select 2 as o, '' as label, 'Repeated retries' as title, 0.68::double as c from r2 where side = 't' and type = 'retry' having count(*) >= 2
+  union all select 4, label, 'Long-running stage', 0.62 from s where side = 't' and m >= 10000) order by o, label limit 3)
+select ts as label, 'Target session lacks baseline events and times out' as title, 0.84::double as confidence from f union all select label, 'Duration regression', 0.78 from a union all select label, title, c from h"""
 
 
 def profile_warnings(spark: SparkSession, d: str) -> DataFrame:
-    t = E.timelines(events(spark, d).filter("not (type = 'timeout' and line % 2 = 0)"))
+    ev = events(spark, d)
+    t = E.timelines(ev.withColumn("label", F.when((F.col("label") == "timeout") & (F.col("line") % 2 == 0), F.lit("late")).otherwise(F.col("label"))))
     return rules.profile_warnings(E.missing_events(t, {"flow": ["state", "timeout", "never"]}), t)
 
 
-WARNINGS_SQL = f"""with {R.LINES_SQL}, k as (select * from parsed where not (type = 'timeout' and line_no % 2 = 0)), s as (select session_id, list(type order by line_no) as l from k group by all having list_contains(list(type), 'state')),
-m as (select session_id, l, not list_contains(l[list_position(l, 'state') + 1:], 'timeout') as t from s), n as (select count(distinct session_id) as c from k where type = 'timeout')
+WARNINGS_SQL = f"""with {R.LINES_SQL}, k as (select session_id, line_no, case when type = 'timeout' and line_no % 2 = 0 then 'late' else type end as label from parsed), s as (select session_id, list(label order by line_no) as l from k group by session_id having list_contains(list(label), 'state')),
+m as (select session_id, l, not list_contains(l[list_position(l, 'state') + 1:], 'timeout') as t from s), n as (select count(distinct session_id) as c from k where label = 'timeout')
 select 'sequence_unobserved_event' as type, session_id, 'flow' as sequence, 'never' as label from m
 union all select case when c > 0 then 'sequence_session_mismatch' else 'sequence_unobserved_event' end, session_id, 'flow', 'timeout' from m, n where t and not list_contains(l, 'timeout')"""
 
@@ -77,7 +79,13 @@ def query_filter_boost(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("function_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").cast("bigint").alias("total"))
 
 
-BOOST_SQL = f"""with {R.LINES_SQL} select 'py:svc.purchase:Orders.commit' as function_id, count(*) as n, cast(sum(85 + 8 + 5 + 36) as bigint) as total from parsed where event_type = 'purchase'"""
+#: The best candidate of each line that holds a term, by its evidence and twelve points a term.
+BOOST_SQL = f"""with {R.LINES_SQL}, {R.INDEX_SQL}, {TOTAL_SQL}, terms as (select unnest(['purchase', 'committed', 'order']) as term),
+kept as (select line_no, lower(line) as low from parsed where exists (select 1 from terms where contains(lower(line), term))),
+hay as (select t.line_no, t.function_id, t.score, coalesce(t.line, f.start_line) as site_line, f.file, k.low || ' ' || lower(f.qualname || ' ' || f.file || ' ' || coalesce(t.reason, '')) as h from total t join kept k using (line_no) join functions f on f.id = t.function_id),
+sums as (select *, score + 12 * (select count(*) from terms where contains(h, term)) as boosted from hay),
+best as (select *, row_number() over (partition by line_no order by boosted desc, file, site_line, function_id) as rank from sums)
+select function_id, count(*) as n, cast(sum(boosted) as bigint) as total from best where rank = 1 group by function_id"""
 
 
 def part_sites(spark: SparkSession, d: str) -> DataFrame:
@@ -131,9 +139,12 @@ def lint_problems(spark: SparkSession, d: str) -> DataFrame:
     return Q.lint(spark, PROFILE, R.lines(spark, d))
 
 
-PROBLEMS_SQL = """select * from (values ('warning', 'suspicious_session_key', 'handleIncomingRequest', ''), ('warning', 'generic_alias', 'Order', 'data'), ('warning', 'invalid_event', 'plain', ''), ('warning', 'empty_event', 'bare', ''),
-('warning', 'generic_event_pattern', 'vague', 'message'), ('warning', 'invalid_sequence', 'broken', ''), ('warning', 'undefined_sequence_event', 'flow', 'shipped'), ('warning', 'unmatched_event', 'odd', ''), ('warning', 'unmatched_event', 'bare', ''),
-('info', 'unused_session_key', 'orderId', ''), ('info', 'unused_session_key', 'handleIncomingRequest', '')) as t(severity, type, subject, item)"""
+PROBLEMS_SQL = f"""with {R.LINES_SQL}, patterns as (select * from (values ('committed', 'order committed'), ('odd', 'never seen'), ('bare', null), ('vague', 'message'), ('vague', 'clicked item')) as p(event, pattern)),
+hits as (select event, sum((select count(*) from parsed where contains(lower(line), pattern))) as n from patterns group by event),
+keys as (select key, (select count(*) from parsed where contains(line, key || '=')) as n from (values ('sessionId'), ('orderId'), ('handleIncomingRequest')) as k(key))
+select 'warning' as severity, 'unmatched_event' as type, event as subject, '' as item from hits where coalesce(n, 0) = 0 union all select 'info', 'unused_session_key', key, '' from keys where n = 0
+union all select * from (values ('warning', 'suspicious_session_key', 'handleIncomingRequest', ''), ('warning', 'generic_alias', 'Order', 'data'), ('warning', 'invalid_event', 'plain', ''), ('warning', 'empty_event', 'bare', ''),
+('warning', 'generic_event_pattern', 'vague', 'message'), ('warning', 'invalid_sequence', 'broken', ''), ('warning', 'undefined_sequence_event', 'flow', 'shipped')) as t(severity, type, subject, item)"""
 
 
 def extract_python_sites(spark: SparkSession, d: str) -> DataFrame:

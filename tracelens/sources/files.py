@@ -5,22 +5,28 @@ from __future__ import annotations
 import fnmatch
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Suffixes of source files by language, directories that hold no sources of the project (fixed values).
 SUFFIXES = {
     "py": "python", "kt": "kotlin", "java": "java", "ts": "typescript", "tsx": "typescript", "go": "go", "c": "c", "h": "c", "cc": "c", "cpp": "c", "cxx": "c", "hpp": "c", "hh": "c", "hxx": "c",
 }
-SKIPPED = [".git", ".venv", "venv", "node_modules", "build", "dist", "vendor", "third_party", "__pycache__", ".gradle", "target", "out"]
+SKIPPED = [
+    ".git", "__pycache__", ".venv", "venv", "node_modules", ".gradle", "build", "dist", ".idea", ".vscode", "third_party", "third-party", "vendor", "external", "generated", "cmake-build-debug", "cmake-build-release",
+]
 INDEX_TABLES = ("functions", "call_edges", "log_sites", "file_signatures")
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of each text file; numbers start at 1 and keep empty lines."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    text = F.regexp_replace("value", r"(\r\n|\n|\r)\z", "")
-    return whole.select("file", F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("p", "line")).select("file", (F.col("p") + 1).alias("line_no"), "line")
+    """(file, line_no, line) of each text file; numbers start at 1 and keep empty lines. Lines are numbered within each
+    block of a file, and the blocks' counts, one row a block, put in order: no file is read by one task."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    counts = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file", "block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("file", "block").orderBy("at")
+    return rows.join(offsets, ["file", "block"]).select("file", (F.col("before") + F.row_number().over(inside)).cast("int").alias("line_no"), "line")
 
 
 def log_lines_of(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -34,7 +40,8 @@ def glob_regex(glob: str) -> str:
 
 def source_files(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
     """(file, module, language, content, mtime, length, signature) of a source tree; paths are relative to the root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    # only files with a suffix of a language are opened
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{','.join(SUFFIXES)}}}").load(root)
     base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
     relative = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + re.escape(re.sub("^/*", "/", base)) + "/", "")
     suffix = F.regexp_extract(relative, r"\.([A-Za-z]+)$", 1)
