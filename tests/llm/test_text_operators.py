@@ -334,7 +334,7 @@ def test_toxicity_distances_are_differences_of_compressed_lengths():
         low = b" " + text.decode().lower().encode()
         starts = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0d]+", low)]
         ends = [m.end() for m in re.finditer(rb"[^\x20\x09-\x0d]+", low)]
-        windows = [low[starts[i] - 1 : ends[min(i + 2, len(ends) - 1)] + 1] for i in range(max(min(1, len(starts)), len(starts) - 2))]
+        windows = [low[starts[i] - 1 : ends[min(i + 2, len(ends) - 1)] + 1] for i in range(0, min(len(starts), max(1, len(starts) - 1)), 2)]
         assert got.tolist() == [size(w, plain) - size(w, bad + plain) for w in windows]
     assert toxicity.distances(texts, meter)[0].max() >= 4
 
@@ -344,7 +344,7 @@ def test_long_texts_are_read_whole():
     words = [f"w{rng.randrange(400)}" for _ in range(40_000)]
     meter = toxicity.Meter(" ".join(words[:2000]).encode(), " ".join(words[:2000]).encode() + b" scumbag moron ")
     d = toxicity.distances([" ".join([*words, "scumbag", "moron"]).encode()], meter)[0]
-    assert len(d) == 40_000 and d[-1] > 3
+    assert len(d) == 20_001 and d[-1] > 3
 
 
 def test_fits_are_bounded_on_repeated_rows(spark):

@@ -28,7 +28,7 @@ from .common import bytes_of, drop_materialized, hashed, materialize, slices, un
 #: Words of the least passage and of a suffix's start. A window of LEAST - SEED + 1 starts has one suffix at least.
 LEAST, SEED = 50, 20
 #: Suffixes of one start that are compared in one task.
-HEAVY = 200
+HEAVY = 50
 _u = np.uint64
 
 
@@ -148,18 +148,13 @@ def _matches(batch: pa.RecordBatch, least: int, seed: int) -> pa.RecordBatch:
     group = np.cumsum(new) - 1
     start = np.flatnonzero(new)
     low, high = start[group], np.append(start[1:], len(k))[group] - 1
-    change = np.flatnonzero(np.append(False, d[1:] != d[:-1]) & ~new)
-    at, index = np.unique(group[change], return_index=True)
-    second = np.full(len(start), -1)  # a place in the second smallest document
-    second[at] = r[change[index]]
-    second = second[group]
     foreign = d != d[low]
     later = foreign | (p - p[low] >= seed)
     # places of one document that lie closer are a passage that repeats itself word by word
     kind = np.empty(len(k), np.int8)
     kind[order] = np.where(later, 2, (d[high] != d) | (p[high] - p >= seed))
     source = np.empty(len(k), np.int64)
-    source[order] = np.where(foreign, r[low], np.where(second >= 0, second, r))
+    source[order] = np.where(foreign, r[low], r[high])
     begin = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (kind[1:] != kind[:-1])))
     stop = np.append(begin[1:], len(k)) - 1
     least_source = np.minimum.reduceat(source, begin)
@@ -174,10 +169,9 @@ def spread(rows: DataFrame, least: int, seed: int) -> DataFrame:
     each = rows.select("h", "id", "p", F.posexplode("k").alias("i", "k")).select("h", "k", "id", (F.col("p") + F.col("i")).alias("p"))
     place = F.struct("id", "p")
     groups = each.groupBy("h", "k").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter(f"low.id <> high.id or high.p - low.p >= {seed}")
-    second = each.join(groups.filter("low.id <> high.id").select("h", "k", "low"), ["h", "k"]).filter("id <> low.id").groupBy("h", "k").agg(F.min("id").alias("second"))
-    known = materialize(groups.join(second, ["h", "k"], "left"))
+    known = materialize(groups)
     found = each.join(known, ["h", "k"]).withColumn("later", F.expr(f"id <> low.id or p - low.p >= {seed}"))
-    source = F.when(F.col("id") != F.col("low.id"), F.col("low.id")).otherwise(F.coalesce("second", "id"))
+    source = F.when(F.col("id") != F.col("low.id"), F.col("low.id")).otherwise(F.col("high.id"))
     return found.filter(f"later or high.id <> id or high.p - p >= {seed}").select("id", F.col("p").alias("from"), (F.col("p") + least).alias("to"), source.alias("source"), (~F.col("later")).alias("first"))
 
 
@@ -192,7 +186,8 @@ def merged(intervals: DataFrame) -> DataFrame:
 
 def repeated_passages(df: DataFrame, least: int = LEAST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per maximal repeated stretch of a document: the id, ``start_word``, ``end_word`` (exclusive), ``n_words``,
-    ``source_id`` (the smallest other document with a passage of it) and ``first`` (its passages are the first of all their
+    ``source_id`` (another document with a passage of it: of its first
+    place the last one's, else the first one's) and ``first`` (its passages are the first of all their
     places; every other place is not ``first``)."""
     rows = hashed(df, id_col, text_col)
     scanned = scan(rows, least, seed)

@@ -29,17 +29,17 @@ from . import labelled, textops
 from .common import bytes_of, slices
 from .textops import word_spans
 
-#: Words of a window; successive windows begin one word apart.
-WORDS = 3
+#: Words of a window, and how many words further the next one begins.
+WORDS, STEP = 3, 2
 #: Spaces after a window while it is compressed: the match finder leaves the last bytes of its input alone, and the
 #: block always shrinks, so that no window is stored raw.
-TAIL = 40
+TAIL = 24
 #: The end of a dictionary, whose last bytes aren't indexed.
 END = b"\n" * 16
 #: Bytes of text that windows are judged by while own parts are trained: of the other class, and of the own class.
 AGAINST, FOR = 2_000_000, 400_000
 #: Bytes of a dictionary's parts: ordinary text, the own part, false alarms of each round, frequent ordinary text.
-BASE, OWN, ALARMS, FREQUENT = 200_000, 4_000, 30_000, 8_000
+BASE, OWN, ALARMS, FREQUENT = 80_000, 4_000, 30_000, 8_000
 #: Share of a class's windows that its own part is trained on, bytes of a trained segment, rounds of false alarms.
 PROFIT, SEGMENT, ROUNDS = 0.03, 12, 3
 #: Words of a stretch that makes two texts copies of each other there.
@@ -50,11 +50,11 @@ DISTANCES = (2, 3, 4, 6, 8, 12)
 CALL = 1 << 15
 
 
-def windows(data: bytes, words: int = WORDS) -> np.ndarray:
-    """Offsets and lengths of all windows of ``words`` words, each with the byte before it and the byte after it."""
+def windows(data: bytes, words: int = WORDS, step: int = STEP) -> np.ndarray:
+    """Offsets and lengths of windows of ``words`` words that cover a text, each with the byte before and the byte after it."""
     starts, ends = word_spans(data)
     n = len(starts)
-    first = np.arange(min(n, max(1, n - words + 1)))
+    first = np.arange(0, min(n, max(1, n - words + step)), step)
     a = np.maximum(starts[first] - 1, 0)
     b = np.minimum(ends[np.minimum(first + words, n) - 1] + 1, len(data))
     return np.stack([a, b - a], 1)
@@ -151,7 +151,7 @@ def apart(texts: list[bytes], parts: list[np.ndarray]) -> list[np.ndarray]:
     out = []
     for r, p in zip(runs, parts):
         copied = np.concatenate([[0], np.cumsum(count[np.searchsorted(value, r)] > 1)])
-        at = np.arange(len(p))  # a window lies in the stretches that begin before it and end after it
+        at = STEP * np.arange(len(p))  # a window lies in the stretches that begin before it and end after it
         out.append(copied[np.minimum(at + 1, len(r))] == copied[np.clip(at + WORDS - COPIED, 0, len(r))])
     return out
 
@@ -188,7 +188,7 @@ def dictionaries(texts: list[bytes], toxic: np.ndarray, half: np.ndarray) -> tup
     words = [Counter(), Counter()]
     for k in (0, 1):
         for i in rows[k]:
-            words[k].update({texts[i][a : a + n] for a, n in windows(texts[i], 1).tolist()})
+            words[k].update({texts[i][a : a + n] for a, n in windows(texts[i], 1, 1).tolist()})
     # labels err: a word that toxic documents have more than twice as often is no false alarm
     known = sorted(words[0])
     fair = np.array([words[1][w] < 2 or words[1][w] * len(rows[0]) <= 2 * words[0][w] * len(rows[1]) for w in known])
@@ -202,7 +202,7 @@ def dictionaries(texts: list[bytes], toxic: np.ndarray, half: np.ndarray) -> tup
         for i in rows[0]:
             for a, n in parts[i][meter.of(texts[i], parts[i]) >= 2].tolist():
                 t = texts[i][a : a + n]
-                if not any(t[p : p + q] in spared for p, q in windows(t, 1).tolist()):
+                if not any(t[p : p + q] in spared for p, q in windows(t, 1, 1).tolist()):
                     found.append(t)
         one = [known[j] for j in np.flatnonzero(alone & fair)]
         if not found and not one:
