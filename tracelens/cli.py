@@ -48,6 +48,12 @@ def candidates(df: DataFrame) -> list[dict]:
     return [r.asDict(True) for r in df.orderBy("entry_id", "rank").collect()]
 
 
+def progress(a: argparse.Namespace, phase: str, path: str) -> None:
+    """One line of JSON on standard error for each phase, where asked for."""
+    if getattr(a, "progress_jsonl", False):
+        print(json.dumps({"phase": phase, "path": path}), file=sys.stderr, flush=True)
+
+
 def cmd_init(a: argparse.Namespace) -> int:
     spark = session()
     out = a.out or str(profile.index_path(a.project) if a.command == "init" else "index")
@@ -57,7 +63,9 @@ def cmd_init(a: argparse.Namespace) -> int:
         previous = {k: t.cache() for k, t in tables_of(spark, out).items()}
         for t in previous.values():
             t.count()
+    progress(a, "parse", source)
     tables = analyze.build_index(spark, source, previous, profile.load_profile(a.project).get("exclude_paths"))
+    progress(a, "write", out)
     files.save_index(tables, out + ".new")
     ready = tables_of(spark, out + ".new")
     files.save_index(ready, out)
@@ -84,12 +92,15 @@ def analysed(a: argparse.Namespace) -> dict:
     spark = session()
     manual = profile.load_profile(a.project)
     tables = tables_of(spark, a.index or profile.index_path(a.project))
-    return analyze.analyse(spark, tables, lines_of(spark, a.log_file), manual, a.query, not a.all_lines, a.top)
+    return analyze.analyse(spark, tables, lines_of(spark, a.log_file), manual, a.query, not a.all_lines, a.top, context=getattr(a, "context", 0))
 
 
 def cmd_analyze(a: argparse.Namespace) -> int:
     report = analysed(a)["report"]
     report["matches"] = report["matches"][: a.show_matches]
+    if a.compact:
+        report = {k: report[k] for k in ("counts", "entries", "matches", "query_focus", "diagnosis", "trace", "profile_warnings", "hypotheses")}
+        a.format = "json"
     show(render.analysis(report) if a.format == "markdown" else report, a.out)
     return 0
 
@@ -121,7 +132,7 @@ def cmd_profile(a: argparse.Namespace) -> int:
         if a.action == "init" and path.exists() and not a.force:
             print(f"{path} exists", file=sys.stderr)
             return 1
-        value = profile.suggested(events.learned_profile(tables_of(spark, index_at)["log_sites"]))
+        value = profile.suggested(events.learned_profile(tables_of(spark, index_at)["log_sites"]), files.app_identifiers(spark, a.project))
         if a.action == "init":
             save(value)
         show(profile.write_yaml(value), a.out)
@@ -141,16 +152,22 @@ def cmd_profile(a: argparse.Namespace) -> int:
             problems = [{"severity": "error", "type": "missing_profile", "subject": str(path), "item": ""}]
             show({"problems": problems})
             return int(a.strict)
-        found = quality.lint(spark, manual, lines)
+        warnings = None
+        if lines is not None and Path(index_at).exists():
+            a.top, a.context = 3, 0
+            warnings = analysed(a)["warnings"]
+        found = quality.lint(spark, manual, None if lines is None else quality.lines_for(lines, a.query), warnings)
         problems = [r.asDict() | {"action": quality.ACTIONS.get(r["type"], "")} for r in found.orderBy("severity", "type", "subject", "item").collect()]
-        show({"problems": problems, "cleanup_patch": quality.cleanup_patch(found)})
+        report = {"problems": problems, "fixes": quality.fixes(problems), "cleanup_patch": quality.cleanup_patch(found)}
+        show(render.lint(report) if a.format == "markdown" else report, a.out)
         return int(a.strict and any(p["severity"] in ("warning", "error") for p in problems))
     patch = json.loads(Path(a.patch).read_text(encoding="utf-8")) if a.patch and a.patch.endswith(".json") else profile.read_yaml(Path(a.patch).read_text(encoding="utf-8")) if a.patch else {}
     if a.action == "cleanup":
         after = quality.cleaned(manual, patch.get("cleanup_patch", patch))
         if a.apply:
             save(after)
-        show({"applied": bool(a.apply), "before": manual, "after": after})
+        report = {"applied": bool(a.apply), "before": manual, "after": after, "patch": patch.get("cleanup_patch", patch)}
+        show(render.cleanup(report) if a.format == "markdown" else report, a.out)
     elif a.action == "apply":
         save(patch if a.force else profile.patched(manual, patch))
     elif a.action == "sequence":
@@ -163,7 +180,7 @@ def cmd_audit(a: argparse.Namespace) -> int:
     spark = session()
     counts = quality.quality_score(quality.audit(tables_of(spark, a.index)["log_sites"]))
     problems = [r["problem"] for r in quality.audit_problems(counts).orderBy("ord").collect()]
-    result = counts.first().asDict() | {"problems": problems}
+    result = counts.first().asDict() | {"problems": problems, "recommendations": quality.recommendations(problems)}
     show(render.facts("Audit", result) if a.format == "markdown" else result)
     return 0
 
@@ -171,7 +188,8 @@ def cmd_audit(a: argparse.Namespace) -> int:
 def cmd_doctor(a: argparse.Namespace) -> int:
     spark = session()
     at = profile.index_path(a.project)
-    show(analyze.doctor(spark, a.project, tables_of(spark, at) if at.exists() else None, profile.load_profile(a.project)))
+    status = analyze.doctor(spark, a.project, tables_of(spark, at) if at.exists() else None, profile.load_profile(a.project))
+    show(render.doctor(status) if a.format == "markdown" else status)
     return 0
 
 
@@ -181,7 +199,7 @@ def cmd_diagnose(a: argparse.Namespace) -> int:
     if a.save_artifacts:
         base = Path(a.log_file).with_suffix("")
         Path(f"{base}.diagnosis.json").write_text(json.dumps(result, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
-        Path(f"{base}.diagnosis.md").write_text(render.analysis(result["analysis"]), encoding="utf-8")
+        Path(f"{base}.diagnosis.md").write_text(render.diagnosis(result), encoding="utf-8")
         Path(f"{base}.cleanup.json").write_text(json.dumps({"cleanup_patch": result["cleanup_patch"]}, ensure_ascii=False, indent=2), encoding="utf-8")
     show(result, a.out)
     return 0
@@ -230,9 +248,9 @@ def parser() -> argparse.ArgumentParser:
     number = lambda n, d: (n, {"type": type(d), "default": d})
     log, project, idx, top, out = ("--log-file", {"required": True}), ("project", {}), ("index", {}), number("--top", 3), text("--out")
     shape = ("--format", {"choices": ["json", "markdown"], "default": "json"})
-    common = [project, log, text("--index"), out, top, number("--show-matches", 10), flag("--all-lines"), shape, text("--query", "")]
-    add("index", cmd_init, project, out)
-    add("init", cmd_init, project, text("--src"), out, flag("--no-incremental"))
+    common = [project, log, text("--index"), out, top, number("--show-matches", 10), flag("--all-lines"), shape, text("--query", ""), number("--context", 0), flag("--compact")]
+    add("index", cmd_init, project, out, flag("--progress-jsonl"))
+    add("init", cmd_init, project, text("--src"), out, flag("--no-incremental"), flag("--progress-jsonl"))
     add("query", cmd_query, idx, ("--log", {"required": True}), top)
     add("locate", cmd_locate, idx, log, top)
     add("analyze", cmd_analyze, *common)
@@ -240,10 +258,10 @@ def parser() -> argparse.ArgumentParser:
     add("compare", cmd_compare, project, ("--baseline", {"required": True}), ("--target", {"required": True}), text("--index"), out, shape, flag("--fail-on-regression"))
     add(
         "profile", cmd_profile, ("action", {"choices": ["suggest", "init", "refine", "lint", "cleanup", "apply", "sequence"]}), project, text("--log-file"), text("--from-log"), text("--index"), text("--query", ""),
-        text("--patch"), text("--name", "success"), out, flag("--apply"), flag("--force"), flag("--strict"), flag("--all-lines"), ("--format", {"choices": ["json", "yaml"], "default": "yaml"}),
+        text("--patch"), text("--name", "success"), out, flag("--apply"), flag("--force"), flag("--strict"), flag("--all-lines"), ("--format", {"choices": ["json", "yaml", "markdown"], "default": "yaml"}),
     )
     add("audit", cmd_audit, idx, shape)
-    add("doctor", cmd_doctor, project)
+    add("doctor", cmd_doctor, project, shape)
     add("diagnose", cmd_diagnose, project, log, text("--query", ""), flag("--save-artifacts"), out)
     add("render", cmd_render, idx, text("--log"), ("--function-id", {"action": "append", "default": []}), top, text("--out", "graph.dot"))
     add("evaluate", cmd_evaluate, ("--src", {"required": True}), ("--corpus", {"required": True}), top, number("--tolerance", 3), number("--min-accuracy", 0.9), number("--show-failures", 10))

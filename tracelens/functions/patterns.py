@@ -26,7 +26,6 @@ LETTER_LEVELS = {"V": "DEBUG", "D": "DEBUG", "I": "INFO", "W": "WARN", "E": "ERR
 #: What a line looks like that begins an entry, names an exception, is a stack frame, or heads a logcat table row.
 ENTRY_START = rf"(?diU)^(\d{{2}}-\d{{2}}\s+\d{{2}}:\d{{2}}:\d{{2}}\.\d{{3}}|[VDIWEF]/|\d{{4}}-\d{{2}}-\d{{2}}|{LEVELS}\b|\{{|[A-Z][a-z]{{2}}\s+\d{{1,2}}|(?:timestamp|time)=)"
 EXCEPTION_LINE = r"(?dU)^[\w.]+(?:Error|Exception|Throwable)(?:\s*:.*)?$|^Traceback \(most recent call last\):"
-STACK_FRAME = r"(?dU)^\s+at\s+[\w.$]+\([\w.]+:\d+\)$|^\s*\.\.\."
 TABLE_HEADER = r"(?dU)^\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3}\s+\d+-\d+\s+\S+\s+(\S+)\s+[VDIWEF]"
 PYTHON_FRAME = r"(?dU)^\s*File \"([^\"]+)\", line (\d+), in ([\w<>]+)"
 PYTHON_ERROR = r"(?dU)^([\w.]+(?:Error|Exception|Warning))(?::\s*(.*))?$"

@@ -31,7 +31,7 @@ def build_index(spark: SparkSession, root: str, previous: dict[str, DataFrame] |
     return {**out, "file_signatures": signatures}
 
 
-def analyse(spark: SparkSession, tables: dict[str, DataFrame], lines: DataFrame, manual: dict | None = None, query: str = "", app_only: bool = False, top: int = 3, learned: dict | None = None) -> dict:
+def analyse(spark: SparkSession, tables: dict[str, DataFrame], lines: DataFrame, manual: dict | None = None, query: str = "", app_only: bool = False, top: int = 3, learned: dict | None = None, context: int = 0) -> dict:
     """Entries, events, candidates and findings of a log, as frames and bounded lists."""
     manual = manual or {}
     known = profile.effective(learned if learned is not None else events.learned_profile(tables["log_sites"]), manual)
@@ -56,6 +56,9 @@ def analyse(spark: SparkSession, tables: dict[str, DataFrame], lines: DataFrame,
         "trace": [r.asDict() for r in rules.evidence_trace(found, missing).collect()], "matches": rows(found, "line_no", "rank"), "query_focus": rows(rules.query_focus(found, terms), "term") if terms else [],
         "diagnosis": rules.diagnosis(spark, counts, gaps, ideas), "query_terms": terms,
     }
+    if context:
+        suspicious = ev.filter(F.col("type").isin(rules.P.SUSPICIOUS)).select("file", F.col("line").alias("line_no"))
+        report["context"] = rows(rules.context_set(lines, suspicious, parsed.join(found.select("entry_id").distinct(), "entry_id").select("file", "line_no"), context), "ord", "file", "line_no")
     return {"report": report, "parsed": parsed, "events": ev, "candidates": found, "timelines": lined, "missing": missing, "durations": stats, "hypotheses": guesses, "warnings": warnings, "profile": known}
 
 
@@ -101,11 +104,27 @@ def doctor(spark: SparkSession, project: str, tables: dict[str, DataFrame] | Non
     if not manual:
         advice.append("Write a profile, or have one suggested.")
     health = {k: len(manual.get(k) or []) for k in ("app_identifiers", "session_keys", "states", "entities", "events", "expected_sequences")}
-    return {"project": str(Path(project)), "index": tables is not None, "index_stale": stale, "manual_profile": bool(manual), "profile_health": health, "recommendations": advice or ["Nothing to do."]}
+    return {"project": str(Path(project)), "app_identifiers": manual.get("app_identifiers") or [], "suggested_app_identifiers": files.app_identifiers(spark, project), "index": tables is not None, "index_stale": stale, "manual_profile": bool(manual), "profile_health": health, "recommendations": advice or ["Nothing to do."]}
 
 
 def diagnose(spark: SparkSession, project: str, tables: dict[str, DataFrame], lines: DataFrame, manual: dict, query: str = "") -> dict:
     """Doctor, one analysis, and lint over that same analysis."""
     done = analyse(spark, tables, lines, manual, query)
-    problems = quality.lint(spark, manual, lines, done["warnings"]).orderBy("severity", "type", "subject", "item")
-    return {"doctor": doctor(spark, project, tables, manual), "analysis": done["report"], "lint": [r.asDict() for r in problems.collect()], "cleanup_patch": quality.cleanup_patch(problems)}
+    problems = quality.lint(spark, manual, quality.lines_for(lines, query), done["warnings"]).orderBy("severity", "type", "subject", "item")
+    result = {"doctor": doctor(spark, project, tables, manual), "analysis": done["report"], "lint": [r.asDict() for r in problems.collect()], "cleanup_patch": quality.cleanup_patch(problems)}
+    return result | {"recommendations": recommended(result)}
+
+
+def recommended(result: dict) -> list[str]:
+    """What to do after a diagnosis, the most urgent first."""
+    out = []
+    if result["doctor"]["index_stale"]:
+        out.append("Build the index again before trusting source locations.")
+    places = list(dict.fromkeys(x["subject"] for x in result["analysis"]["trace"] if x["kind"] == "source"))[:3]
+    if places:
+        out.append(f"Look at {', '.join(places)}.")
+    if any(result["cleanup_patch"].values()):
+        out.append("Review the cleanup patch, then apply it with profile cleanup.")
+    if result["lint"]:
+        out.append("Settle the profile's problems before taking missing events for faults.")
+    return out or ["Read the evidence; nothing else stands out."]

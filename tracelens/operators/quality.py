@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,17 @@ def key_hits(lines: DataFrame, keys: list[str]) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(F.col(f"k{i}"), F.lit(0)).cast("bigint").alias("hits")) for i, k in enumerate(keys)])))
 
 
+def lines_for(lines: DataFrame, query: str) -> DataFrame:
+    """Lines that hold any word of a query; all lines if none does."""
+    terms = re.findall(r"[a-z0-9_\u4e00-\u9fff-]{2,}", (query or "").lower())
+    if not terms:
+        return lines
+    hit = F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower("line"), t))
+    marked = lines.withColumn("__hit", hit)
+    some = marked.agg(F.coalesce(F.max("__hit"), F.lit(False)).alias("__some"))
+    return marked.crossJoin(F.broadcast(some)).filter("__hit or not __some").drop("__hit", "__some")  # one row
+
+
 def lint(spark: SparkSession, profile: dict, lines: DataFrame | None = None, warnings: DataFrame | None = None) -> DataFrame:
     """(severity, type, subject, item) of a profile's weaknesses, and with a log those that it shows."""
     t = profile_tables(spark, profile)
@@ -114,6 +127,37 @@ def lint(spark: SparkSession, profile: dict, lines: DataFrame | None = None, war
     return out.distinct()
 
 
+#: What to do about templates that an audit finds wanting, and where it finds nothing.
+ADVICE = [
+    "Name the request or session in every log line of a flow.", "Log how long a step took where it ends or times out.",
+    "Say in error logs which exception, reason or code it was.", "Word templates so that they tell one event from another.",
+]
+KEEP_UP = ["Keep keys, states and durations alike across events that belong together."]
+
+
+def recommendations(problems: list[str]) -> list[str]:
+    """Advice that goes with the problems of an audit."""
+    return ADVICE if problems else KEEP_UP
+
+
+def fixes(problems: list[dict]) -> list[dict]:
+    """(action, target, reason) for each problem of a lint that has a remedy, each once."""
+    out = {}
+    for p in problems:
+        if p["type"] in REASONS:
+            out.setdefault((ACTIONS[p["type"]], p["item"] or p["subject"]), REASONS[p["type"]])
+    return [{"action": a, "target": t, "reason": r} for (a, t), r in out.items()]
+
+
+#: Why each remedy is proposed.
+REASONS = {
+    "unused_session_key": "This log doesn't show it; remove it only if no log does.", "suspicious_session_key": "It reads like a function's name, not like a field.",
+    "generic_event_pattern": "It matches lines that have nothing to do with the event.", "generic_alias": "It matches lines that have nothing to do with the entity.",
+    "unmatched_event": "None of its patterns occurs in this log.", "sequence_session_mismatch": "The event occurs, but in another session; split the sequence or log a common key.",
+    "undefined_sequence_event": "The profile defines no event of this name.",
+}
+
+
 #: What to do about each kind of finding.
 ACTIONS = {
     "suspicious_session_key": "remove_session_key", "generic_alias": "narrow_alias", "empty_event": "remove_event", "invalid_event": "remove_event",

@@ -5,9 +5,12 @@ from __future__ import annotations
 import fnmatch
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import template_regex_udf
+
 #: Suffixes of source files by language, directories that hold no sources of the project (fixed values).
 SUFFIXES = {
     "py": "python", "kt": "kotlin", "java": "java", "ts": "typescript", "tsx": "typescript", "go": "go", "c": "c", "h": "c", "cc": "c", "cpp": "c", "cxx": "c", "hpp": "c", "hh": "c", "hxx": "c",
@@ -59,6 +62,42 @@ def source_files(spark: SparkSession, root: str, exclude: list[str] | None = Non
     return out.select("file", module.alias("module"), "language", "content", F.col("modificationTime").alias("mtime"), "length", signature.alias("signature"))
 
 
+def app_identifiers(spark: SparkSession, root: str) -> list[str]:
+    """Package names in the build files one folder below a project's root and in its manifest, each once, in the files' order."""
+    build = r"(?:namespace|applicationId)\s*[= ]\s*[\"']([^\"']+)[\"']"
+    places = [("*/build.gradle", build), ("*/build.gradle.kts", build), ("app/src/main/AndroidManifest.xml", r"package=[\"']([^\"']+)[\"']")]
+    found: list[str] = []
+    for i, (glob, pattern) in enumerate(places):
+        try:
+            rows = spark.read.text(f"{root.rstrip('/')}/{glob}", wholetext=True)
+        except AnalysisException:  # no such file
+            continue
+        names = rows.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.regexp_extract_all("value", F.lit(pattern), F.lit(1))).alias("pos", "name"))
+        found += [r["name"] for r in names.orderBy("file", "pos").collect()]  # as many as a project has modules
+    return list(dict.fromkeys(found))
+
+
+def import_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """An index kept as one JSON document: functions and log sites by id, calls as a list, file signatures in its metadata."""
+    function = "name string, qualname string, module string, file string, start_line int, end_line int, kind string"
+    site = "function_id string, level string, template string, regex string, file string, line int, logger string"
+    schema = (
+        f"functions map<string, struct<{_fields(function)}>>, log_sites map<string, struct<{_fields(site)}>>, calls array<struct<{_fields('caller string, callee string, file string, line int, confidence double')}>>, "
+        "metadata struct<file_signatures: map<string, string>>"
+    )
+    whole = spark.read.schema(schema).json(path, multiLine=True)
+    calls = whole.select(F.inline("calls"))
+    return {
+        "functions": whole.select(F.explode("functions").alias("id", "x")).select("id", "x.*"), "call_edges": calls.withColumn("raw", F.col("callee")),
+        "log_sites": whole.select(F.explode("log_sites").alias("id", "x")).select("id", "x.*").withColumn("regex", template_regex_udf("template")),
+        "file_signatures": whole.select(F.explode("metadata.file_signatures").alias("file", "signature")).withColumn("mtime", F.lit(None).cast("timestamp")),
+    }
+
+
+def _fields(columns: str) -> str:
+    return ", ".join(": ".join(c.split()) for c in columns.split(","))
+
+
 def labelled_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(id, log, expected) of a JSON-lines corpus."""
     return spark.read.schema("id string, log string, expected struct<file: string, function: string, line: int>").json(path)
@@ -71,7 +110,8 @@ def save_index(index: dict[str, DataFrame], path: str) -> None:
 
 
 def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in INDEX_TABLES}
+    """An index of this engine's tables, or one JSON document."""
+    return import_index(spark, path) if path.endswith(".json") else {name: spark.read.parquet(f"{path}/{name}") for name in INDEX_TABLES}
 
 
 def newest(files: DataFrame) -> DataFrame:
