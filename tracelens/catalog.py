@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from .plans import analysis, evidence, parsing, reports
+from .plans import analysis, evidence, parsing, reports, surface
 
 
 def queries() -> dict:
     """Name to function of (spark, sf_dir)."""
-    return {name: q[0] for part in (parsing, evidence, analysis, reports) for name, q in part.QUERIES.items()}
+    return {name: q[0] for part in (parsing, evidence, analysis, reports, surface) for name, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, where SQL can express the query."""
-    return {name: q[1] for part in (parsing, evidence, analysis, reports) for name, q in part.QUERIES.items() if q[1]}
+    return {name: q[1] for part in (parsing, evidence, analysis, reports, surface) for name, q in part.QUERIES.items() if q[1]}
