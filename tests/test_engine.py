@@ -1,7 +1,12 @@
 """The log-diagnosis engine on a small project, and its operators against plain Python."""
 
 import json
+import os
 import random
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -250,7 +255,93 @@ def test_streaming(spark, tmp_path):
     assert {(r.type, r.n) for r in spark.table("counted").groupBy("type").agg(F.sum("n").alias("n")).collect()} == {("timeout", 1), ("retry", 2)}
 
 
-def test_entry_without_training_data_subpackage():
-    import __spark_entry__ as e
+def test_entry_without_training_data_subpackage(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    gone = shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py")
+    shutil.copytree(root, tmp_path / "repo", ignore=gone)
+    (tmp_path / "repo" / "tracelens" / "llm" / "__pycache__").mkdir(parents=True)  # what a deletion may leave
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and 'candidate_topk' in q; assert not any(x.startswith('op') and x[2].isdigit() for x in q) and 'pipeline' not in q"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=os.environ | {"PYTHONPATH": str(tmp_path / "repo")}, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
 
-    assert set(e.oracle_sql()) <= set(e.queries()) and "candidate_topk" in e.queries()
+
+def test_log_files_are_numbered_over_blocks(spark, tmp_path):
+    for name, n in (("a.log", 3000), ("b.log", 7)):
+        (tmp_path / name).write_text("".join(f"{name} line {i}\r\n" if i % 3 else "\n" for i in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.log_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {}
+    for r in rows:
+        got.setdefault(r.file.rsplit("/", 1)[1], {})[r.line_no] = r.line
+    assert got == {name: {i: f"{name} line {i}" if i % 3 else "" for i in range(1, n + 1)} for name, n in (("a.log", 3000), ("b.log", 7))}
+
+
+@pytest.mark.parametrize("stretch", [100_000, 4])
+def test_running_sums_over_stretches(spark, stretch, monkeypatch):
+    from tracelens.functions import frames
+
+    monkeypatch.setattr(frames, "STRETCH", stretch)
+    rng = random.Random(8)
+    rows = [(f, i, rng.randrange(-3, 4), rng.choice([None, i])) for f in "ab" for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "file string, line_no int, n int, v int")
+    out = frames.carried(frames.numbered_by(df, "total", "n"), "last", "v").collect()
+    for r in out:
+        before = [x for x in rows if x[0] == r.file and x[1] <= r.line_no]
+        assert r.total == sum(x[2] for x in before) and r["last"] == next((x[3] for x in reversed(before) if x[3] is not None), None)
+    assert len(out) == len(rows)
+
+
+def test_ranks_over_groups(spark):
+    from tracelens.functions import frames
+
+    rng = random.Random(9)
+    rows = [(f"s{i}", rng.randrange(3)) for i in rng.sample(range(1000), 200)]
+    got = {r.k: r["rank"] for r in frames.ranked(spark.createDataFrame(rows, "k string, n int"), "rank", "n", "k", prefix=2).collect()}
+    assert got == {k: i for i, (k, n) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])), 1)}
+
+
+def test_events_without_sessions(spark):
+    rows = [("f", i, t, t, "", s, "k" if s else "") for i, (t, s) in enumerate([("retry", ""), ("timeout", ""), ("retry", "")])]
+    schema = "file string, line int, type string, label string, message string, session_id string, session_key string"
+    alone = events.timelines(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.session_id, r.labels, r.event_types) for r in alone] == [("__global__", ["retry", "timeout", "retry"], {"retry": 2, "timeout": 1})]
+    rows.append(("f", 9, "state", "state", "", "s1", "sid"))
+    assert [r.session_id for r in events.timelines(spark.createDataFrame(rows, schema)).collect()] == ["s1"]
+
+
+def test_best_detail(spark):
+    df = spark.createDataFrame([("a\n│ last said │\n└────┘\n",), ("one",), ("┌──┐\n└──┘",), ("",)], "raw string")
+    assert [r[0] for r in df.select(rules.best_detail(F.col("raw"))).collect()] == ["last said │", "one", "", ""]
+
+
+def test_application_names(spark, tmp_path):
+    (tmp_path / "app" / "src" / "main").mkdir(parents=True)
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "app" / "build.gradle").write_text("android {\n namespace 'com.a.app'\n defaultConfig { applicationId = \"com.a.id\" }\n}")
+    (tmp_path / "lib" / "build.gradle.kts").write_text('namespace = "com.a.lib"\nnamespace = "com.a.app"')
+    (tmp_path / "app" / "src" / "main" / "AndroidManifest.xml").write_text('<manifest package="com.a.manifest"/>')
+    assert files.app_identifiers(spark, str(tmp_path)) == ["com.a.app", "com.a.id", "com.a.lib", "com.a.manifest"]
+    assert files.app_identifiers(spark, str(tmp_path / "lib")) == []
+
+
+def test_lint_under_a_query(spark):
+    lines = spark.createDataFrame([("f", 1, "Order paid"), ("f", 2, "other"), ("f", 3, "paid again")], "file string, line_no int, line string")
+    count = lambda q: quality.lines_for(lines, q).count()
+    assert (count("PAID x"), count(""), count("nothing like it"), quality.lines_for(lines.limit(0), "paid").count()) == (2, 3, 3, 0)
+
+
+def test_reports():
+    problems = [{"severity": "warning", "type": "generic_alias", "subject": "Order", "item": "data", "action": "narrow_alias"}]
+    assert "`x`" in render.lint({"problems": problems, "fixes": quality.fixes(problems), "cleanup_patch": {"remove_events": ["x"], "review_events": []}})
+    assert quality.fixes(problems * 2) == [{"action": "narrow_alias", "target": "data", "reason": quality.REASONS["generic_alias"]}]
+    assert quality.recommendations(["p"]) == quality.ADVICE and quality.recommendations([]) == quality.KEEP_UP
+    report = render.cleanup({"applied": False, "before": {"session_keys": ["a", "b"], "events": {"e": {}}}, "after": {"session_keys": ["b"], "events": {}}, "patch": {"review_sequences": ["flow"]}})
+    assert "- `a`" in report and "- `e`" in report and "- `b`" not in report and "`flow`" in report
+    state = {"project": "p", "index": True, "index_stale": True, "manual_profile": False, "profile_health": {"events": 2}, "recommendations": ["Build it."]}
+    assert "- events: 2" in render.doctor(state) and "- Build it." in render.doctor(state)
+    result = {"doctor": state, "lint": problems, "cleanup_patch": {"remove_events": ["x"]}, "analysis": {"trace": [{"kind": "source", "subject": "a.py:1:f", "detail": ""}], "diagnosis": {"summary": "Sum", "findings": ["1 error"]}}}
+    result["recommendations"] = analyze.recommended(result)
+    assert len(result["recommendations"]) == 4 and "1. Build the index again" in render.diagnosis(result)
