@@ -32,14 +32,20 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _written(least: DataFrame, made: list) -> DataFrame:
+    """Minima, written before they are joined back, so that a hub's edges can be split over tasks."""
+    made.append(materialize(least))
+    return made[-1]
+
+
+def _large(edges: DataFrame, made: list) -> DataFrame:
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = _written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), made)
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
+def _small(edges: DataFrame, made: list) -> DataFrame:
+    least = _written(edges.groupBy("hi").agg(F.min("lo").alias("m")), made)
     moved = edges.join(least, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.unionAll(least.select("hi", F.col("m").alias("lo"))).distinct()
 
@@ -56,8 +62,11 @@ def connected_components(edges: DataFrame, a: str, b: str, limit: int = 60) -> D
     for _ in range(limit):
         if state[0] == 0:
             break
-        new = materialize(_small(_large(now)))
-        drop_materialized(now)
+        made: list[DataFrame] = []
+        stars = materialize(_large(now, made))
+        new = materialize(_small(stars, made))
+        for old in (now, stars, *made):
+            drop_materialized(old)
         now, last, state = new, state, _state(new)
         if state == last:
             break

@@ -4,7 +4,8 @@ Four base kinds are found in the text as it stands, each from left to right with
 rewrite disguises: look-alike characters, invisible characters, spelled digits, and words or brackets for "at" and
 "dot". Each character of the rewritten text knows the stretch of source characters it stands for, so what the same
 detectors find there maps back to the source. Found stretches that a base span of the same kind does not already
-hold are added. Nulls count as empty texts. Offsets are code points, ends exclusive.
+hold are added. Nulls count as empty texts, repeated rows give repeated rows. Offsets are code points, ends exclusive.
+The counts by kind are of base spans only; what the transducers add stands in the spans alone.
 """
 
 from __future__ import annotations

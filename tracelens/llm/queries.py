@@ -76,7 +76,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
     found = pii.detect(table(spark, sf_dir, "documents"), redacted=False)
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", F.size(F.array_remove(F.split("spans", ","), "")).cast("long").alias("n_spans"))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
