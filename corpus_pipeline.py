@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.llm import minhash, packing, pii, suffix_dedup, toxicity
-from tracelens.llm.common import materialize, table
+from tracelens.llm.common import materialize, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document, the one of smallest id, of each group of near-duplicates (five words, similarity of 0.8 or more). Rows
     without an id stay, and so do rows that repeat a kept id with another text; of rows equal in id and text one stays."""
     kept = minhash.near_duplicates(docs, k=5, percent=80).filter("kept and doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
-    kept = materialize(kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "rows"))
-    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
+    key, hash_col = unused(docs, "id"), unused(docs, "hash")
+    kept = materialize(kept.select(F.col("doc_id").alias(key), F.col("text_hash").alias(hash_col), "rows"))
+    same = (F.col("doc_id") == F.col(key)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(hash_col))
     known = docs.join(kept.drop("rows"), same, "left_semi")
     if kept.filter("rows > 1").limit(1).count():
         known = known.dropDuplicates(["doc_id", "text"])

@@ -57,8 +57,15 @@ select case when contains(a, b) or contains(b, a) then 0.95 when r < 0.4 then 0.
 
 
 def fuzzy_similarity(spark: SparkSession, d: str) -> DataFrame:
-    e = entries(spark, d).select(T.canonical("message").alias("b")).distinct()
-    return e.withColumn("ratio", F.round(T.matching_ratio(F.lit("order committed now"), "b"), 6))
+    """Similarity of texts whose common part stands at the end of one and at the beginning of the other."""
+    n = F.col("event_id")
+    left = F.concat(F.repeat(F.lit("a"), (n % 9 + 1).cast("int")), "event_type")
+    right = F.concat("event_type", F.repeat(F.lit("#"), (n % 4).cast("int")))
+    return R.events(spark, d).select("event_id", F.round(T.matching_ratio(F.upper(left), F.upper(right)), 6).alias("ratio"))
+
+
+#: The common part is all that matches: twice its length over both lengths; an A before it may match none of it.
+FUZZY_SQL = "select event_id, round(2.0 * length(event_type) / (2 * length(event_type) + event_id % 9 + 1 + event_id % 4), 6)::double as ratio from events"
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
@@ -220,7 +227,7 @@ QUERIES = {
     "template_match_join": (template_match_join, MATCH_SQL),
     "template_keyword_prefilter": (template_keyword_prefilter, PREFILTER_SQL),
     "canonical_similarity_tiers": (canonical_similarity_tiers, TIERS_SQL),
-    "fuzzy_similarity": (fuzzy_similarity, None),
+    "fuzzy_similarity": (fuzzy_similarity, FUZZY_SQL),
     "structured_evidence": (structured_evidence, STRUCTURED_SQL),
     "frame_evidence": (frame_evidence, FRAME_SQL),
     "name_evidence": (name_evidence, NAME_SQL),
