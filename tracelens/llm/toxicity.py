@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled, textops
-from .common import bytes_of, slices
+from .common import bytes_of, fold, slices
 from .textops import word_spans
 
 #: Words of a window, and how many words further the next one begins.
@@ -211,8 +211,19 @@ def dictionaries(texts: list[bytes], toxic: np.ndarray, half: np.ndarray) -> tup
     return base + plain + alarms + often, base + bad + alarms + often
 
 
-def train(texts: list[bytes], toxic: list[int]) -> Model | None:
-    """Dictionaries from two rows of three, weights from the third."""
+def cut(margin: np.ndarray, y: np.ndarray, share: float) -> float:
+    """The margin with the fewest errors where ``share`` of all documents are toxic; the middle of the best stretch."""
+    at = np.sort(np.unique(margin))
+    missed = np.searchsorted(np.sort(margin[y == 1]), at, side="right") / max(1, (y == 1).sum())
+    wrong = 1 - np.searchsorted(np.sort(margin[y == 0]), at, side="right") / max(1, (y == 0).sum())
+    error = share * missed + (1 - share) * wrong
+    best = np.flatnonzero(error <= error.min() + 1e-12)
+    return float((at[best[0]] + (at[best[-1] + 1] if best[-1] + 1 < len(at) else at[best[-1]])) / 2)
+
+
+def train(texts: list[bytes], toxic: list[int], share: float | None = None) -> Model | None:
+    """Dictionaries from two rows of three, weights and the cut at 0.5 from the third. ``share``: of toxic ones among all
+    documents, of which the rows may be a balanced sample."""
     y = np.array(toxic)
     if len(set(toxic)) < 2 or min((y == 0).sum(), (y == 1).sum()) < 6:
         return None
@@ -225,7 +236,9 @@ def train(texts: list[bytes], toxic: list[int]) -> Model | None:
     plain, bad = dictionaries([normal(texts[i]) for i in used], y[used], place[used])
     held = place == 2
     x = np.stack([features(d) for d in distances([t for t, h in zip(texts, held) if h], Meter(plain, bad))])
-    return Model(bad, plain, logistic(x, y[held]))
+    weights = logistic(x, y[held])
+    weights[0] -= cut(x @ weights, y[held], float(y.mean()) if share is None else share)
+    return Model(bad, plain, weights)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 60) -> np.ndarray:
@@ -245,7 +258,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 60)
 def fit(documents: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """A model from at most ``per_class`` training rows of each class, all that the driver gathers."""
     rows = labelled.sample(documents, labels, "toxic", folds, held_out, per_class, id_col, text_col).orderBy("id").collect()
-    return train([(r["text"] or "").encode() for r in rows], [r["label"] for r in rows])
+    known = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & (fold(id_col, folds) != held_out)).agg(F.avg((F.col("toxic") >= 1).cast("double"))).first()[0]
+    return train([(r["text"] or "").encode() for r in rows], [r["label"] for r in rows], known)
 
 
 def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
