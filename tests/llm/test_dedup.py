@@ -2,6 +2,7 @@
 
 import collections
 import random
+import tempfile
 
 import numpy as np
 import pytest
@@ -273,6 +274,21 @@ def test_suffixes_on_odd_tables(spark):
     assert suffix_dedup.repeated_passages(df.limit(0)).count() == 0 and suffix_dedup.without(df.limit(0), found).count() == 0
 
 
+def test_embeddings_write_no_multiple_of_the_input(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 64)).astype(np.float32)
+    x[3000:3040] = x[7] + 0.05 * x[3000:3040]
+    path = f"file://{tempfile.mkdtemp()}/embeddings"
+    spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(2).write.parquet(path)
+    monkeypatch.setattr(embed_dedup, "CHUNK", 400)
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = moved()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.read.parquet(path)).collect()}
+    assert moved() - before < 4 * x.nbytes
+    near = {7, *range(3000, 3040)}
+    assert got == {i: (40, 7) if i in near else (0, i) for i in range(6000)}
+
+
 def test_embeddings_at_the_threshold(spark):
     a = [1.0, 0.0]
     rows = [(1, a, 1, 5), (2, [0.93, float(np.sqrt(1 - 0.93**2))], 1, 5), (3, [0.9299999, float(np.sqrt(1 - 0.9299999**2))], 1, 5), (None, a, 1, 5)]

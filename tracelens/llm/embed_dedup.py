@@ -1,13 +1,15 @@
-"""Operator 2: near-duplicate embeddings by a subspace pigeonhole join.
+"""Operator 2: near-duplicate embeddings by comparing blocks of vectors with a bound from few rotated coordinates.
 
-Unit vectors with cosine c or more are at squared distance 2 - 2c or less. After a fixed rotation each vector is split
-into blocks of few dimensions; of the blocks of such a pair one at least keeps within its proportional part of that
-distance. So each block is range-joined by itself, on a grid as wide as the block's radius over some of its leading
-coordinates (the more, the more vectors share the label), and every candidate is verified by its cosine in double
-precision. A pair counts in the first block that proposes it, so no list of pairs is gathered or made distinct.
+All vectors of a label meet each other, in blocks of at most about ``CHUNK``. Of unit vectors after a fixed rotation, the
+product of the leading coordinates and the product of the lengths of the rests sum up to a bound of the cosine. One
+matrix product in single precision gives this bound for a tile of pairs; only pairs whose bound reaches the threshold,
+less a margin for rounding, are decided by their cosine in double precision. Where a tile holds many such pairs, a product
+of all coordinates decides those beyond the margin, and the others are decided one by one. So no link is lost or added.
 
-Equal vectors of a label are one class and go through once. A cell with many vectors is dealt out as pairs of bounded
-chunks. Tasks return counts of links and edges of spanning forests, never the links themselves; both are exact.
+Equal vectors of a label are one class and go through once. A block is one row, its vectors one binary value. A label of
+one block is compared where that row is read. The blocks of larger labels meet in a cartesian product of the written
+table's partitions, which reads them again and again but writes nothing: disk grows with the input, work with the square
+of a label's vectors. Tasks return counts of links and edges of spanning forests, never the links themselves.
 
 Only vectors with the same non-null label and dimension are compared. Vectors that are null, empty, zero or hold a null
 or a non-finite number, and rows with a null id, link with nothing: no links, a component of their own.
@@ -15,21 +17,23 @@ or a non-finite number, and rows with a null id, link with nothing: no links, a
 
 from __future__ import annotations
 
-import math
-from itertools import product
+from collections import OrderedDict
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
 from .components import Forest, connected_components
 from .textops import GOLDEN, mix
 
-BLOCKS = 8
-#: Vectors of a chunk, and the most leading coordinates of a grid.
-CHUNK, DEEPEST = 2500, 4
+#: Vectors of a block (about; fewer beyond 64 dimensions), blocks of a label that are written side by side, decoded blocks that a worker keeps.
+CHUNK, BESIDE, DECODED = 8192, 16, 24
+#: Rows and columns of a tile, and the share of its pairs from which all coordinates are multiplied.
+ROWS, COLUMNS, DENSE = 256, 1024, 1 / 64
 _rotations: dict[int, np.ndarray] = {}
 
 
@@ -40,160 +44,277 @@ def rotation(dim: int) -> np.ndarray:
     return _rotations[dim]
 
 
-def cuts(dim: int) -> np.ndarray:
-    """Bounds of the blocks of a dimension."""
-    n = min(BLOCKS, dim)
-    return np.array([dim * i // n for i in range(n + 1)])
-
-
-def prepare(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(id, label, dim, s1, s2, v): comparable vectors in double precision, with a signature of the raw numbers."""
+def prepare(df: DataFrame, id_col: str, vector_col: str, label_col: str, vectors: bool) -> DataFrame:
+    """(id, label, dim, s1, s2): comparable vectors, with a signature of the raw numbers. With ``vectors`` also (mult, wide, v):
+    equal ones of a batch as one row of the smallest id, their number, and the raw numbers in single or double precision."""
     kinds = [df.schema[c].dataType.simpleString() for c in (id_col, label_col)]
+    wide = df.schema[vector_col].dataType.elementType.simpleString() != "float"
 
     def work(batches):
         for batch in slices(batches, rows=2048):
-            vectors, keep = batch.column(2), []
-            out: dict[str, list] = {"dim": [], "s1": [], "s2": [], "v": []}
-            for i, x in enumerate(vectors.to_pylist()):
-                if not x or None in x:
-                    continue
-                a = np.array(x, np.float64) + 0.0
-                norm = float(np.sqrt((a * a).sum()))
-                if not np.isfinite(a).all() or norm == 0.0:
-                    continue
-                if not np.isfinite(norm) or norm < 1e-150:  # extreme lengths are scaled first
-                    a = a / np.abs(a).max()
-                bits = np.array(x, np.float64) + 0.0
-                words = bits.view(np.uint64) + np.arange(1, len(x) + 1, dtype=np.uint64) * np.uint64(GOLDEN)
-                keep.append(i)
-                for k, value in zip(out, (len(x), int(mix(words).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(words ^ np.uint64(0x5851F42D4C957F2D))).astype(np.int64)), a.tobytes())):
-                    out[k].append(value)
-            at = pa.array(keep, pa.int64())
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, t) for c, t in zip(out.values(), types))], ["id", "label", *out])
-
-    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("x")).filter("id is not null and label is not null and x is not null")
-    return rows.mapInArrow(work, f"id {kinds[0]}, label {kinds[1]}, dim int, s1 bigint, s2 bigint, v binary")
-
-
-def turned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows rotated and of unit length, and their lengths."""
-    norm = np.sqrt((x * x).sum(1))
-    return (x / norm[:, None]) @ rotation(x.shape[1]).T, norm
-
-
-def half_shell(depth: int) -> np.ndarray:
-    """Offsets to neighbouring cells, one of each opposite pair, after the cell itself."""
-    ahead = [o for o in product((-1, 0, 1), repeat=depth) if next((c for c in o if c), 1) > 0]
-    return np.array(sorted(ahead, key=any), dtype=np.int64).reshape(len(ahead), depth)
-
-
-def deal(classes: DataFrame, budget: float) -> DataFrame:
-    """(label, dim, block, cell, guest, id, mult, v): each vector in its own cell and as a guest in those before it that it may reach."""
-    kinds = [classes.schema[c].dataType.simpleString() for c in ("label", "id")]
-
-    def work(batches):
-        for batch in slices(batches, rows=1024):
-            dims, depths = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            data = batch.column(5).to_pylist()
-            rows, block, cell, guest = [], [], [], []
-            for dim, depth in {*zip(dims.tolist(), depths.tolist())}:
-                at = np.flatnonzero((dims == dim) & (depths == depth))
-                x, _ = turned(np.frombuffer(b"".join([data[i] for i in at]), np.float64).reshape(-1, dim))
-                bounds = cuts(dim)
-                for b in range(len(bounds) - 1):
-                    lead = min(depth, int(bounds[b + 1] - bounds[b]))
-                    radius = math.sqrt(budget * (bounds[b + 1] - bounds[b]) / dim) + 1e-9
-                    y = x[:, bounds[b] : bounds[b] + lead]
-                    home = np.floor(y / radius).astype(np.int64)
-                    inside = y - home * radius
-                    for o in half_shell(lead):
-                        # squared distance from the vector to the cell at -o
-                        gap = np.where(o == 1, inside, np.where(o == -1, radius - inside, 0.0))
-                        near = np.flatnonzero((gap * gap).sum(1) <= radius * radius)
-                        rows.append(at[near])
-                        block.append(np.full(len(near), b))
-                        cell.append(mix((home[near] - o).astype(np.uint64) + np.arange(1, lead + 1, dtype=np.uint64) * np.uint64(GOLDEN)).sum(1, dtype=np.uint64).view(np.int64))
-                        guest.append(np.full(len(near), bool(o.any())))
-            take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(block), pa.int32()), pa.array(np.concatenate(cell), pa.int64()), pa.array(np.concatenate(guest)), *(batch.column(i).take(take) for i in (3, 4, 5))],
-                ["label", "dim", "block", "cell", "guest", "id", "mult", "v"],
-            )
-
-    return classes.select("label", "dim", "depth", "id", "mult", "v").mapInArrow(work, f"label {kinds[0]}, dim int, block int, cell bigint, guest boolean, id {kinds[1]}, mult bigint, v binary")
-
-
-def links_of(raw: tuple[np.ndarray, np.ndarray], block: int, cosine: float, budget: float, same: bool, guests: tuple[np.ndarray, np.ndarray]):
-    """(rows of x, rows of y) linked and first proposed by ``block``, in bounded pieces. The rotated vectors propose, the raw ones decide."""
-    (x, long), (y, wide) = map(turned, raw)
-    bounds = cuts(x.shape[1])
-    limit = [budget * (bounds[b + 1] - bounds[b]) / x.shape[1] + 1e-12 for b in range(len(bounds) - 1)]
-    part = [slice(bounds[b], bounds[b + 1]) for b in range(len(bounds) - 1)]
-    xs, ys = [(x[:, p] ** 2).sum(1) for p in part], [(y[:, p] ** 2).sum(1) for p in part]
-    near = lambda b, r: xs[b][r][:, None] + ys[b][None, :] - 2 * (x[r][:, part[b]] @ y[:, part[b]].T) <= limit[b]
-    for at in range(0, len(x), 512):
-        r = slice(at, min(len(x), at + 512))
-        found = near(block, r)
-        found &= ~(guests[0][r][:, None] & guests[1][None, :])
-        if same:
-            found &= np.arange(r.start, r.stop)[:, None] < np.arange(len(y))[None, :]
-        for b in range(block):
-            if not found.any():
-                break
-            found &= ~near(b, r)
-        i, j = np.nonzero(found)
-        for k in range(0, len(i), 65536):
-            p, q = i[k : k + 65536] + at, j[k : k + 65536]
-            ok = np.einsum("ij,ij->i", raw[0][p], raw[1][q]) / (long[p] * wide[q]) >= cosine
-            if ok.any():
-                yield p[ok], q[ok]
-
-
-def range_join(dealt: DataFrame, cosine: float, budget: float) -> DataFrame:
-    """(id, other, n): links of ``id`` counted in some cell, or (other not null) an edge of a spanning forest."""
-    where = ["label", "dim", "block", "cell"]
-    # written before it is joined, so that a large cell can be split over tasks
-    sizes = materialize(dealt.groupBy(*where).count().filter(F.col("count") > CHUNK).withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")).drop("count"))
-    split = dealt.join(sizes, where, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    split = split.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    split = split.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-    kind = dealt.schema["id"].dataType.simpleString()
-    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+            lists = batch.column(2)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            start, flat = np.cumsum(size) - size, lists.flatten().to_numpy(zero_copy_only=False)  # a null number comes as NaN
+            for dim in np.unique(size[size > 0]):
+                at = np.flatnonzero(size == dim)
+                x = flat[start[at][:, None] + np.arange(dim)].astype(np.float64) + 0.0
+                with np.errstate(all="ignore"):
+                    keep = np.isfinite(x).all(1) & ((x * x).sum(1) != 0.0)
+                at, x = at[keep], x[keep]
+                words = x.view(np.uint64)
+                s1 = mix(words + np.arange(1, dim + 1, dtype=np.uint64) * np.uint64(GOLDEN)).sum(1, dtype=np.uint64).view(np.int64)
+                s2 = np.bitwise_xor.reduce(mix(words ^ np.uint64(0x5851F42D4C957F2D)), axis=1).view(np.int64)
+                out = pa.table({"id": batch.column(0).take(pa.array(at)), "label": batch.column(1).take(pa.array(at)), "dim": pa.array(np.full(len(at), dim, np.int32)), "s1": s1, "s2": s2})
+                if vectors:
+                    out = out.append_column("row", pa.array(np.arange(len(at)))).group_by(["label", "dim", "s1", "s2"]).aggregate([("id", "min"), ("id", "count"), ("row", "min")])
+                    rows = (x if wide else x.astype(np.float32))[out["row_min"].to_numpy()]
+                    out = pa.table({"id": out["id_min"], **{c: out[c] for c in ("label", "dim", "s1", "s2")}, "mult": out["id_count"], "wide": pa.array(np.full(len(rows), wide)), "v": pa.array([r.tobytes() for r in rows], pa.binary())})
+                yield from out.to_batches()
+
+    vector = F.col(vector_col).cast("array<double>") if wide else F.col(vector_col)
+    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), vector.alias("x")).filter("id is not null and label is not null and x is not null")
+    return rows.mapInArrow(work, f"id {kinds[0]}, label {kinds[1]}, dim int, s1 bigint, s2 bigint" + ", mult bigint, wide boolean, v binary" * vectors)
+
+
+def blocks(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """(label, dim, part, parts, ids, mult, wide, v): the classes of a label by the parts that ``large`` (label, dim, parts) names for it, one part otherwise."""
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "label")}
 
     def work(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        dim, block = group["dim"][0].as_py(), group["block"][0].as_py()
-        ids, mult, guest = group["id"], group["mult"].to_numpy(), group["guest"].to_numpy(zero_copy_only=False)
-        v = np.frombuffer(b"".join(group["v"].to_pylist()), np.float64).reshape(-1, dim)
-        chunk = group["chunk"].to_numpy()
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        count, forest = np.zeros(len(v), np.int64), Forest(len(v))
-        for p, q in links_of((v[left], v[right]), block, cosine, budget, i == j, (guest[left], guest[right])):
-            a, b = left[p], right[q]
-            np.add.at(count, a, mult[b])
-            np.add.at(count, b, mult[a])
-            forest.link(a, b)
-        some, tied = np.flatnonzero(count), np.flatnonzero(forest.root != np.arange(len(v)))
-        first = pa.concat_arrays([c for c in ids.take(pa.array(np.concatenate([some, tied]))).chunks]) if len(some) + len(tied) else pa.array([], types.get(kind, pa.int64()))
-        roots = ids.take(pa.array(forest.root[tied])).to_pylist()
-        other = pa.array([None] * len(some) + roots, first.type)
-        return pa.table([first, other, pa.array(np.concatenate([count[some], np.zeros(len(tied), np.int64)]), pa.int64())], names=["id", "other", "n"])
-
-    return split.select(*where, "i", "j", "chunk", "guest", "id", "mult", "v").groupBy(*where, "i", "j").applyInArrow(work, f"id {kind}, other {kind}, n bigint")
+        group = group.take(pc.sort_indices(group, sort_keys=[("s1", "ascending"), ("s2", "ascending"), ("id", "ascending")]))
+        s1, s2 = group["s1"].to_numpy(), group["s2"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])]))
+        kept = group.take(pa.array(first)).combine_chunks()
+        listed = lambda values: pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), values)
+        ids = kept["id"].combine_chunks()
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        mult = pa.array(np.add.reduceat(group["mult"].to_numpy(), first))
+        return kept.slice(0, 1).select(["label", "dim", "part", "parts"]).append_column("ids", listed(ids)).append_column("mult", listed(mult)).append_column("wide", kept["wide"].slice(0, 1)).append_column("v", pa.array([b"".join(kept["v"].to_pylist())], pa.binary()))
+
+    # rows of a large label that fall into neighbouring parts are written by the same task
+    dealt = rows.join(F.broadcast(large), ["label", "dim"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod("s1", "parts").cast("int"))
+    dealt = dealt.withColumn("beside", F.xxhash64("label", "dim", F.floor(F.col("part") / BESIDE)))
+    return dealt.repartition("beside").groupBy("beside", "label", "dim", "part").applyInArrow(work, f"label {kinds['label']}, dim int, part int, parts int, ids array<{kinds['id']}>, mult array<bigint>, wide boolean, v binary")
+
+
+class Block:
+    """A decoded block: raw numbers, their lengths, unit vectors after the rotation, and leading coordinates with the length of the rest."""
+
+    def __init__(self, ids: pa.Array, mult: np.ndarray, wide: bool, v: bytes, cosine: float):
+        self.ids, self.mult, self.plain = ids, mult, bool((mult == 1).all())
+        self.raw = np.frombuffer(v, np.float64 if wide else np.float32).reshape(len(ids), -1)
+        x = self.raw.astype(np.float64)
+        with np.errstate(all="ignore"):
+            self.norm = np.sqrt((x * x).sum(1))
+            extreme = ~np.isfinite(self.norm) | (self.norm < 1e-150)
+        if extreme.any():  # scaled first
+            x[extreme] /= np.abs(x[extreme]).max(1)[:, None]
+            self.raw, self.norm = x, np.sqrt((x * x).sum(1))
+        dim = x.shape[1]
+        unit = (x / self.norm[:, None]) @ rotation(dim).T
+        # enough coordinates that few pairs of random directions pass; only the speed depends on it
+        lead = 12 + int(1.8 * (1 - cosine) * dim)
+        self.unit = unit.astype(np.float32)
+        self.lead = np.concatenate([unit[:, :lead], np.sqrt((unit[:, lead:] ** 2).sum(1))[:, None]], 1).astype(np.float32) if lead + 1 < dim else self.unit
+
+    def decide(self, p: np.ndarray, other: Block, q: np.ndarray, cosine: float) -> np.ndarray:
+        out = np.empty(len(p), bool)
+        for at in range(0, len(p), 65536):
+            i, j = p[at : at + 65536], q[at : at + 65536]
+            out[at : at + 65536] = np.einsum("ij,ij->i", self.raw[i].astype(np.float64), other.raw[j].astype(np.float64)) / (self.norm[i] * other.norm[j]) >= cosine
+        return out
+
+
+def margin(n: int) -> float:
+    """More than single precision errs in a product of two unit vectors of ``n`` coordinates."""
+    return 2.5e-7 * (n + 8)
+
+
+def set_bits(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns that hold true, few of them: looked for by words of eight."""
+    if hit.shape[1] % 8 or not hit.flags.c_contiguous:
+        return np.nonzero(hit)
+    words = np.flatnonzero(hit.view(np.uint64))
+    k, byte = np.nonzero(hit.reshape(-1, 8)[words])
+    return np.divmod(words[k] * 8 + byte, hit.shape[1])
+
+
+def compare(x: Block, y: Block, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links of each row of ``x`` and of ``y``, and edges (rows of x, rows of y) that connect what the links connect."""
+    same = x is y
+    nx, ny = np.zeros(len(x.ids), np.int64), np.zeros(len(y.ids), np.int64)
+    forest = Forest(len(nx) + len(ny))
+    low, high = np.float32(cosine - margin(x.lead.shape[1])), margin(x.unit.shape[1])
+    bound, tile, bits = np.empty(ROWS * COLUMNS, np.float32), np.empty(ROWS * COLUMNS, np.float32), np.empty(ROWS * COLUMNS, bool)
+    some_p, some_q = [], []
+
+    def settle() -> None:
+        if some_p:
+            p, q = np.concatenate(some_p), np.concatenate(some_q)
+            some_p.clear(), some_q.clear()
+            ok = x.decide(p, y, q, cosine)
+            p, q = p[ok], q[ok]
+            np.add.at(nx, p, y.mult[q])
+            np.add.at(ny, q, x.mult[p])
+            if len(p):
+                forest.link(p, q if same else q + len(nx))
+
+    waiting = 0
+    for a in range(0, len(nx), ROWS):
+        r = slice(a, min(len(nx), a + ROWS))
+        for b in range(a // COLUMNS * COLUMNS if same else 0, len(ny), COLUMNS):
+            c = slice(b, min(len(ny), b + COLUMNS))
+            shape = (r.stop - r.start, c.stop - c.start)
+            area = shape[0] * shape[1]
+            g, hit = bound[:area].reshape(shape), bits[:area].reshape(shape)
+            np.matmul(x.lead[r], y.lead[c].T, out=g)
+            np.greater_equal(g, low, out=hit)
+            if same and b < r.stop:
+                hit &= np.arange(r.start, r.stop)[:, None] < np.arange(c.start, c.stop)[None, :]
+            n = np.count_nonzero(hit)
+            if n == 0:
+                continue
+            if n < DENSE * area:
+                p, q = set_bits(hit)
+                some_p.append(p + a)
+                some_q.append(q + b)
+                waiting += n
+                if waiting > 1 << 16:
+                    settle()
+                    waiting = 0
+                continue
+            full = tile[:area].reshape(shape)
+            np.matmul(x.unit[r], y.unit[c].T, out=full)
+            sure = hit & (full >= np.float32(cosine + high))
+            p, q = np.nonzero(hit & ~sure & (full >= np.float32(cosine - high)))
+            sure[p, q] = x.decide(p + a, y, q + b, cosine)
+            nx[r] += sure.sum(1) if y.plain else (sure @ y.mult[c].astype(np.float64)).astype(np.int64)
+            ny[c] += sure.sum(0) if x.plain else (x.mult[r].astype(np.float64) @ sure).astype(np.int64)
+            left, right = np.arange(r.start, r.stop), np.arange(c.start, c.stop) + (0 if same else len(nx))
+            while True:  # each row with one link between trees, until no such link is left
+                sure &= forest.root[left][:, None] != forest.root[right][None, :]
+                row = np.flatnonzero(sure.any(1))
+                if not len(row):
+                    break
+                forest.link(left[row], right[sure[row].argmax(1)])
+    settle()
+    if same:
+        nx += ny
+        ny = np.zeros(0, np.int64)
+    tied = np.flatnonzero(forest.root != np.arange(len(forest.root)))
+    return nx, ny, tied, forest.root[tied]
+
+
+class Tally:
+    """Links and trees over the blocks that one task has met."""
+
+    def __init__(self) -> None:
+        self.at: dict = {}
+        self.ids: list[pa.Array] = []
+        self.counts: list[np.ndarray] = []
+        self.size, self.edges = 0, []
+
+    def place(self, key: tuple, block: Block) -> int:
+        if key not in self.at:
+            self.at[key] = (len(self.ids), self.size)
+            self.ids.append(block.ids)
+            self.counts.append(np.zeros(len(block.ids), np.int64))
+            self.size += len(block.ids)
+        return self.at[key]
+
+    def add(self, keys: tuple, x: Block, y: Block, cosine: float) -> None:
+        (i, left), (j, right) = self.place(keys[0], x), self.place(keys[1], y)
+        nx, ny, a, b = compare(x, y, cosine)
+        self.counts[i] += nx
+        if x is not y:
+            self.counts[j] += ny
+        if len(a):
+            n = len(x.ids)
+            self.edges.append(np.stack([np.where(e < n, e + left, e - n + right) for e in (a, b)]))
+
+    def batches(self):
+        if not self.ids:
+            return
+        forest, count = Forest(self.size), np.concatenate(self.counts)
+        if self.edges:
+            forest.link(*np.concatenate(self.edges, axis=1))
+        ids = pa.concat_arrays(self.ids)
+        some, tied = np.flatnonzero(count), np.flatnonzero(forest.root != np.arange(self.size))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), pa.nulls(len(some), ids.type), pa.array(count[some])], ["id", "other", "n"])
+        if len(tied):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(tied)), ids.take(pa.array(forest.root[tied])), pa.array(np.zeros(len(tied), np.int64))], ["id", "other", "n"])
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Rows of blocks are large: few go to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+PARTS = ("label", "dim", "part", "ids", "mult", "wide", "v")
+
+
+def links(table: DataFrame, cosine: float, kind: str) -> DataFrame:
+    """(id, other, n): links of ``id`` counted in a task, or (other not null) an edge of a spanning forest. Takes one block
+    in each row, or two with the columns of the second after the first's."""
+    pairs = len(table.columns) > len(PARTS)
+
+    def work(batches):
+        known: OrderedDict[tuple, Block] = OrderedDict()
+
+        def block(batch: pa.RecordBatch, i: int, at: int) -> tuple[tuple, Block]:
+            key = tuple(batch.column(at + k)[i].as_py() for k in range(3))
+            if key in known:
+                known.move_to_end(key)
+            else:
+                ids, mult, wide, v = (batch.column(at + k)[i] for k in range(3, 7))
+                known[key] = Block(ids.values, mult.values.to_numpy(), wide.as_py(), v.as_py(), cosine)
+                if len(known) > DECODED:
+                    known.popitem(last=False)
+            return key, known[key]
+
+        tally = Tally()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                k, x = block(batch, i, 0)
+                m, y = block(batch, i, len(PARTS)) if pairs else (k, x)
+                tally.add((k, m), x, y, cosine)
+            if not pairs and tally.size > 1 << 18:  # a label of one block is met once
+                yield from tally.batches()
+                tally = Tally()
+        yield from tally.batches()
+
+    return table.mapInArrow(work, f"id {kind}, other {kind}, n bigint")
 
 
 def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of ``df``: the id, ``n_links`` (other vectors linked directly), ``component_id`` and ``kept``."""
-    budget = 2 - 2 * cosine + 1e-9
-    ready = materialize(prepare(df, id_col, vector_col, label_col))
+    spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
+    ready = materialize(prepare(df, id_col, vector_col, label_col, vectors=False))
     same = ["label", "dim", "s1", "s2"]
-    classes = ready.groupBy(*same).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("mult"), F.first("v").alias("v"))
-    of_label = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("m"))
-    depth = F.least(F.lit(DEEPEST), F.greatest(F.lit(0), F.ceil(F.log(F.col("m") / CHUNK) / math.log(3)))).cast("int")
-    classes = materialize(classes.join(of_label.select("label", "dim", depth.alias("depth")), ["label", "dim"]))
-    found = materialize(range_join(deal(classes, budget), cosine, budget))
+    classes = ready.groupBy(*same).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("mult"))
+    # a count that is a little off makes blocks a little larger or smaller
+    of_label = ready.groupBy("label", "dim").agg(F.approx_count_distinct("s1").alias("m"))
+    parts = F.ceil(F.col("m") * F.greatest(F.col("dim") / 64, F.lit(1.0)) / CHUNK).cast("int")
+    large = materialize(of_label.select("label", "dim", parts.alias("parts")).filter("parts > 1"))
+    dealt = materialize(blocks(prepare(df, id_col, vector_col, label_col, vectors=True), large))
+    with batch_rows(spark, 32):
+        found = materialize(links(dealt.filter("parts = 1").select(*PARTS), cosine, kind))
+    if not large.isEmpty():
+        x = dealt.filter("parts > 1").select(*(F.col(c).alias(f"x_{c}") for c in PARTS))
+        y = dealt.filter("parts > 1").select(*(F.col(c).alias(f"y_{c}") for c in PARTS))
+        # not as an equality, for which all blocks of a label would be moved to one task
+        meet = (F.col("x_label") <= F.col("y_label")) & (F.col("x_label") >= F.col("y_label")) & (F.col("x_dim") <= F.col("y_dim")) & (F.col("x_dim") >= F.col("y_dim")) & (F.col("x_part") <= F.col("y_part"))
+        with batch_rows(spark, 4):
+            found = found.unionAll(materialize(links(x.join(y.hint("shuffle_replicate_nl"), meet), cosine, kind)))
     counts = found.filter("other is null").groupBy("id").agg(F.sum("n").alias("n"))
     roots = connected_components(found.filter("other is not null"), "id", "other")
     known = classes.select(*same, F.col("id").alias("r"), "mult").join(counts.withColumnRenamed("id", "r"), "r", "left").join(roots.withColumnRenamed("id", "r"), "r", "left")
