@@ -6,6 +6,7 @@ import random
 import shutil
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -189,6 +190,22 @@ def test_comparison(spark, tables):
     assert list(one) == [["a", "a"], ["b"]]
 
 
+def test_long_label_lists_are_compared_in_proportion(spark):
+    n = 40_000
+    a, b = (F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit(x), (i % 7).cast("string"))) for x in ("a", "b"))
+    runs = spark.range(2).select(F.col("id").cast("string").alias("session_id"), (F.lit(n) + F.col("id")).alias("event_count"), F.concat(F.when(F.col("id") == 0, a).otherwise(b), F.array(F.lit("end"))).alias("labels"))
+    long = {i: [f"{x}{k % 7}" for k in range(1, n + 1)] for i, x in ((0, "a"), (1, "b"))}
+    start = time.monotonic()
+    got = compare.compare_labels(runs, runs.filter("session_id = '1'").withColumn("labels", F.concat("labels", F.array(F.lit("more"))))).first()
+    lists = runs.filter("session_id = '0'").select(F.col("labels").alias("x")).crossJoin(runs.filter("session_id = '1'").select(F.col("labels").alias("y")))
+    pair = lists.select(compare.shared(F.col("x"), F.col("y")).alias("shared"), compare.lacking(F.col("x"), F.col("y")).alias("lacking")).first()
+    took = time.monotonic() - start
+    assert got.shared == [*long[1], "end", "end"] and got.missing == long[0] and got.extra == ["more"]
+    assert pair.shared == ["end"] and pair.lacking == long[0]
+    assert took < 30
+
+
+
 def test_edges_resolve_by_one_meaning(spark):
     fns = spark.createDataFrame([("1", "run", "run", "m"), ("2", "go", "A.go", "m"), ("3", "top", "top", "n")], "id string, name string, qualname string, module string")
     edges = spark.createDataFrame([("1", c, "f", 1, 0.5) for c in ("run", "self.go", "n.top", "other")], "caller string, callee string, file string, line int, confidence double")

@@ -9,29 +9,37 @@ from ..functions.frames import ranked, reused
 from .events import duration_stats
 
 
+def among(a: Column, items: Column) -> Column:
+    """Items of ``a`` that are in ``items``, repeats and order kept. A list built inside the filter would be built again for
+    each item; the variable of an outer lambda holds it."""
+    return F.transform(F.array(items), lambda known: F.filter(a, lambda x: F.array_contains(known, x)))[0]
+
+
 def shared(a: Column, b: Column) -> Column:
     """Items of ``a`` that ``b`` has, repeats and order kept."""
-    known = F.array_intersect(a, b)  # each label once, however long the lists are
-    return F.filter(a, lambda x: F.array_contains(known, x))
+    return among(a, F.array_intersect(a, b))  # each label once, however long the lists are
 
 
 def lacking(a: Column, b: Column) -> Column:
     """Items of ``a`` that ``b`` lacks, repeats and order kept."""
-    missing = F.array_except(a, b)
-    return F.filter(a, lambda x: F.array_contains(missing, x))
+    return among(a, F.array_except(a, b))
 
 
-def run_labels(lines: DataFrame) -> Column:
-    """Labels of all timelines, the largest first, as one list."""
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("event_count")).alias("n"), "session_id", "labels")))
+def run_labels(labels: Column) -> Column:
+    """``labels`` of all timelines, the largest timeline first, as one list."""
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("event_count")).alias("n"), "session_id", labels.alias("labels"))))
     return F.flatten(F.transform(ranked, lambda x: x["labels"]))
 
 
 def compare_labels(baseline: DataFrame, target: DataFrame) -> DataFrame:
-    """One row: labels shared, missing in the target, and extra there, over all timelines."""
-    b, t = baseline.agg(run_labels(baseline).alias("b")), target.agg(run_labels(target).alias("t"))
-    both = b.crossJoin(t)  # one row each
-    return both.select(shared(F.col("b"), F.col("t")).alias("shared"), lacking(F.col("b"), F.col("t")).alias("missing"), lacking(F.col("t"), F.col("b")).alias("extra"))
+    """One row: labels shared, missing in the target, and extra there, over all timelines. Each timeline is held against the
+    other run's distinct labels by itself; only what is listed is gathered."""
+    runs = [reused(run) for run in (baseline, target)]
+    b_has, t_has = (F.broadcast(run.select(F.explode("labels").alias("x")).distinct().agg(F.collect_list("x").alias("has"))) for run in runs)  # one row each
+    has = lambda x: F.array_contains("has", x)
+    b = runs[0].crossJoin(t_has).agg(run_labels(F.filter("labels", has)).alias("shared"), run_labels(F.filter("labels", lambda x: ~has(x))).alias("missing"))
+    t = runs[1].crossJoin(b_has).agg(run_labels(F.filter("labels", lambda x: ~has(x))).alias("extra"))
+    return b.crossJoin(t)  # one row each
 
 
 def compare_sessions(baseline: DataFrame, target: DataFrame) -> DataFrame:
