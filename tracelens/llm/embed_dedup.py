@@ -31,9 +31,10 @@ from .components import Forest, connected_components
 from .textops import GOLDEN, mix
 
 #: Vectors of a block (about; fewer beyond 64 dimensions), blocks of a label that are written side by side, decoded blocks that a worker keeps.
-CHUNK, BESIDE, DECODED = 8192, 16, 24
-#: Rows and columns of a tile, and the share of its pairs from which all coordinates are multiplied.
-ROWS, COLUMNS, DENSE = 256, 1024, 1 / 64
+CHUNK, BESIDE, DECODED = 16384, 4, 12
+#: Rows and columns of a tile, the share of its pairs from which all coordinates are multiplied, and that of its links from
+#: which they are summed up as a matrix.
+ROWS, COLUMNS, MANY, DENSE = 256, 1024, 1 / 512, 1 / 16
 _rotations: dict[int, np.ndarray] = {}
 
 
@@ -77,32 +78,28 @@ def prepare(df: DataFrame, id_col: str, vector_col: str, label_col: str, vectors
 
 
 def blocks(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """(label, dim, part, parts, ids, mult, wide, v): the classes of a label by the parts that ``large`` (label, dim, parts) names for it, one part otherwise."""
+    """(label, dim, part, parts, wide, ids, mult, v): the classes of a label by the parts that ``large`` (label, dim, parts) names for it, one part otherwise."""
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "label")}
 
     def work(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        group = group.take(pc.sort_indices(group, sort_keys=[("s1", "ascending"), ("s2", "ascending"), ("id", "ascending")]))
-        s1, s2 = group["s1"].to_numpy(), group["s2"].to_numpy()
-        first = np.flatnonzero(np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])]))
-        kept = group.take(pa.array(first)).combine_chunks()
-        listed = lambda values: pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), values)
-        ids = kept["id"].combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        mult = pa.array(np.add.reduceat(group["mult"].to_numpy(), first))
-        return kept.slice(0, 1).select(["label", "dim", "part", "parts"]).append_column("ids", listed(ids)).append_column("mult", listed(mult)).append_column("wide", kept["wide"].slice(0, 1)).append_column("v", pa.array([b"".join(kept["v"].to_pylist())], pa.binary()))
+        listed = lambda c: pa.ListArray.from_arrays(pa.array([0, len(group)], pa.int32()), group[c].chunk(0))
+        one = group.slice(0, 1).select(["label", "dim", "part", "parts", "wide"])
+        return one.append_column("ids", listed("id")).append_column("mult", listed("mult")).append_column("v", pa.array([b"".join(group["v"].to_pylist())], pa.binary()))
 
+    # equal vectors meet by their signature first, so that copies don't fill the group of a block
+    rows = rows.groupBy("label", "dim", "s1", "s2").agg(F.min("id").alias("id"), F.sum("mult").alias("mult"), F.first("wide").alias("wide"), F.first("v").alias("v"))
     # rows of a large label that fall into neighbouring parts are written by the same task
     dealt = rows.join(F.broadcast(large), ["label", "dim"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod("s1", "parts").cast("int"))
     dealt = dealt.withColumn("beside", F.xxhash64("label", "dim", F.floor(F.col("part") / BESIDE)))
-    return dealt.repartition("beside").groupBy("beside", "label", "dim", "part").applyInArrow(work, f"label {kinds['label']}, dim int, part int, parts int, ids array<{kinds['id']}>, mult array<bigint>, wide boolean, v binary")
+    return dealt.repartition("beside").groupBy("beside", "label", "dim", "part").applyInArrow(work, f"label {kinds['label']}, dim int, part int, parts int, wide boolean, ids array<{kinds['id']}>, mult array<bigint>, v binary")
 
 
 class Block:
     """A decoded block: raw numbers, their lengths, unit vectors after the rotation, and leading coordinates with the length of the rest."""
 
     def __init__(self, ids: pa.Array, mult: np.ndarray, wide: bool, v: bytes, cosine: float):
-        self.ids, self.mult, self.plain = ids, mult, bool((mult == 1).all())
+        self.plain = bool((mult == 1).all())
         self.raw = np.frombuffer(v, np.float64 if wide else np.float32).reshape(len(ids), -1)
         x = self.raw.astype(np.float64)
         with np.errstate(all="ignore"):
@@ -114,7 +111,10 @@ class Block:
         dim = x.shape[1]
         unit = (x / self.norm[:, None]) @ rotation(dim).T
         # enough coordinates that few pairs of random directions pass; only the speed depends on it
-        lead = 12 + int(1.8 * (1 - cosine) * dim)
+        lead = 20 + int(1.8 * (1 - cosine) * dim)
+        # rows of one orthant stand together, so that close vectors fill few tiles and most tiles hold none
+        order = np.argsort((unit[:, :12] > 0) @ (1 << np.arange(min(12, dim))), kind="stable")
+        self.ids, self.mult, self.raw, self.norm, unit = ids.take(pa.array(order)), mult[order], self.raw[order], self.norm[order], unit[order]
         self.unit = unit.astype(np.float32)
         self.lead = np.concatenate([unit[:, :lead], np.sqrt((unit[:, lead:] ** 2).sum(1))[:, None]], 1).astype(np.float32) if lead + 1 < dim else self.unit
 
@@ -131,15 +131,6 @@ def margin(n: int) -> float:
     return 2.5e-7 * (n + 8)
 
 
-def set_bits(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns that hold true, few of them: looked for by words of eight."""
-    if hit.shape[1] % 8 or not hit.flags.c_contiguous:
-        return np.nonzero(hit)
-    words = np.flatnonzero(hit.view(np.uint64))
-    k, byte = np.nonzero(hit.reshape(-1, 8)[words])
-    return np.divmod(words[k] * 8 + byte, hit.shape[1])
-
-
 def compare(x: Block, y: Block, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Links of each row of ``x`` and of ``y``, and edges (rows of x, rows of y) that connect what the links connect."""
     same = x is y
@@ -147,20 +138,21 @@ def compare(x: Block, y: Block, cosine: float) -> tuple[np.ndarray, np.ndarray,
     forest = Forest(len(nx) + len(ny))
     low, high = np.float32(cosine - margin(x.lead.shape[1])), margin(x.unit.shape[1])
     bound, tile, bits = np.empty(ROWS * COLUMNS, np.float32), np.empty(ROWS * COLUMNS, np.float32), np.empty(ROWS * COLUMNS, bool)
-    some_p, some_q = [], []
+    waiting: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
 
     def settle() -> None:
-        if some_p:
-            p, q = np.concatenate(some_p), np.concatenate(some_q)
-            some_p.clear(), some_q.clear()
-            ok = x.decide(p, y, q, cosine)
-            p, q = p[ok], q[ok]
-            np.add.at(nx, p, y.mult[q])
-            np.add.at(ny, q, x.mult[p])
-            if len(p):
+        for decided, pairs in waiting.items():
+            if pairs:
+                p, q = (np.concatenate(k) for k in zip(*pairs))
+                pairs.clear()
+                if not decided:
+                    ok = x.decide(p, y, q, cosine)
+                    p, q = p[ok], q[ok]
+                np.add.at(nx, p, y.mult[q])
+                np.add.at(ny, q, x.mult[p])
                 forest.link(p, q if same else q + len(nx))
 
-    waiting = 0
+    size = 0
     for a in range(0, len(nx), ROWS):
         r = slice(a, min(len(nx), a + ROWS))
         for b in range(a // COLUMNS * COLUMNS if same else 0, len(ny), COLUMNS):
@@ -169,35 +161,41 @@ def compare(x: Block, y: Block, cosine: float) -> tuple[np.ndarray, np.ndarray,
             area = shape[0] * shape[1]
             g, hit = bound[:area].reshape(shape), bits[:area].reshape(shape)
             np.matmul(x.lead[r], y.lead[c].T, out=g)
+            if g.max() < low:
+                continue
             np.greater_equal(g, low, out=hit)
             if same and b < r.stop:
                 hit &= np.arange(r.start, r.stop)[:, None] < np.arange(c.start, c.stop)[None, :]
             n = np.count_nonzero(hit)
-            if n == 0:
-                continue
-            if n < DENSE * area:
-                p, q = set_bits(hit)
-                some_p.append(p + a)
-                some_q.append(q + b)
-                waiting += n
-                if waiting > 1 << 16:
+            decided = n >= MANY * area
+            if decided:
+                full = tile[:area].reshape(shape)
+                np.matmul(x.unit[r], y.unit[c].T, out=full)
+                hit &= full >= np.float32(cosine - high)
+                p, q = np.divmod(np.flatnonzero(hit & (full < np.float32(cosine + high))), shape[1])
+                hit[p, q] = x.decide(p + a, y, q + b, cosine)
+                n = np.count_nonzero(hit)
+                if n >= DENSE * area:
+                    nx[r] += np.add.reduce(hit.view(np.uint8), 1, dtype=np.int32) if y.plain else (hit @ y.mult[c].astype(np.float64)).astype(np.int64)
+                    ny[c] += np.add.reduce(hit.view(np.uint8), 0, dtype=np.int32) if x.plain else (x.mult[r].astype(np.float64) @ hit).astype(np.int64)
+                    left, right = np.arange(r.start, r.stop), np.arange(c.start, c.stop) + (0 if same else len(nx))
+                    while True:  # of the links between trees one for each row and column, until there are none
+                        u, w = forest.root[left], forest.root[right]
+                        if (u == u[0]).all() and (w == u[0]).all():
+                            break
+                        hit &= u[:, None] != w[None, :]
+                        row, column = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+                        if not len(row):
+                            break
+                        forest.link(np.concatenate([left[row], left[hit[:, column].argmax(0)]]), np.concatenate([right[hit[row].argmax(1)], right[column]]))
+                    continue
+            if n:
+                p, q = np.divmod(np.flatnonzero(hit), shape[1])
+                waiting[decided].append((p + a, q + b))
+                size += n
+                if size > 1 << 16:
                     settle()
-                    waiting = 0
-                continue
-            full = tile[:area].reshape(shape)
-            np.matmul(x.unit[r], y.unit[c].T, out=full)
-            sure = hit & (full >= np.float32(cosine + high))
-            p, q = np.nonzero(hit & ~sure & (full >= np.float32(cosine - high)))
-            sure[p, q] = x.decide(p + a, y, q + b, cosine)
-            nx[r] += sure.sum(1) if y.plain else (sure @ y.mult[c].astype(np.float64)).astype(np.int64)
-            ny[c] += sure.sum(0) if x.plain else (x.mult[r].astype(np.float64) @ sure).astype(np.int64)
-            left, right = np.arange(r.start, r.stop), np.arange(c.start, c.stop) + (0 if same else len(nx))
-            while True:  # each row with one link between trees, until no such link is left
-                sure &= forest.root[left][:, None] != forest.root[right][None, :]
-                row = np.flatnonzero(sure.any(1))
-                if not len(row):
-                    break
-                forest.link(left[row], right[sure[row].argmax(1)])
+                    size = 0
     settle()
     if same:
         nx += ny
@@ -306,14 +304,14 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     parts = F.ceil(F.col("m") * F.greatest(F.col("dim") / 64, F.lit(1.0)) / CHUNK).cast("int")
     large = materialize(of_label.select("label", "dim", parts.alias("parts")).filter("parts > 1"))
     dealt = materialize(blocks(prepare(df, id_col, vector_col, label_col, vectors=True), large))
-    with batch_rows(spark, 32):
+    with batch_rows(spark, 8):
         found = materialize(links(dealt.filter("parts = 1").select(*PARTS), cosine, kind))
     if not large.isEmpty():
         x = dealt.filter("parts > 1").select(*(F.col(c).alias(f"x_{c}") for c in PARTS))
         y = dealt.filter("parts > 1").select(*(F.col(c).alias(f"y_{c}") for c in PARTS))
         # not as an equality, for which all blocks of a label would be moved to one task
         meet = (F.col("x_label") <= F.col("y_label")) & (F.col("x_label") >= F.col("y_label")) & (F.col("x_dim") <= F.col("y_dim")) & (F.col("x_dim") >= F.col("y_dim")) & (F.col("x_part") <= F.col("y_part"))
-        with batch_rows(spark, 4):
+        with batch_rows(spark, 1):
             found = found.unionAll(materialize(links(x.join(y.hint("shuffle_replicate_nl"), meet), cosine, kind)))
     counts = found.filter("other is null").groupBy("id").agg(F.sum("n").alias("n"))
     roots = connected_components(found.filter("other is not null"), "id", "other")
